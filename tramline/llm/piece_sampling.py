@@ -50,23 +50,36 @@ class PieceSampler:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
         self._bytes = [0] * 256
-        self._weight: dict[str, tuple[int, float]] = {}
+        logs: list[float] = []
+        pieces: dict[str, int] = {}
         self._spelt: list[bytes] = []
-        rank = 0
         for i in range(size):
             piece = model.id_to_piece(i)
             octets = b""
+            logs.append(-theta * float(np.log(len(pieces) + 2)))
             if model.is_byte(i):
                 self._bytes[int(piece[1:-1], 16)] = i
                 octets = bytes([int(piece[1:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
-                self._weight[piece] = (i, float(rank + 2) ** -theta)
+                pieces[piece] = i
                 octets = piece.replace(MARK, " ").encode()
-                rank += 1
             self._spelt.append(octets)
-        self._byte_weight = float(rank + 2) ** -theta
-        self._longest = max(map(len, self._weight), default=1)
-        pairs = {(ord(a), ord(b)) for p in self._weight for a, b in zip(p, p[1:], strict=False)}
+        self._log = np.array(logs)
+        self._byte_log = -theta * float(np.log(len(pieces) + 2))
+        self._longest = max(map(len, pieces), default=1)
+        states = {"": 0}
+        for piece in pieces:
+            for n in range(1, len(piece) + 1):
+                states.setdefault(piece[:n], len(states))
+        self._state_piece = np.full(len(states), -1, np.int64)
+        steps = []
+        for prefix, state in states.items():
+            self._state_piece[state] = pieces.get(prefix, -1)
+            if prefix:
+                steps.append((states[prefix[:-1]] << 21 | ord(prefix[-1]), state))
+        steps.sort()
+        self._step_keys, self._step_to = (np.array(x, np.int64) for x in zip(*steps, strict=True))
+        pairs = {(ord(a), ord(b)) for p in pieces for a, b in zip(p, p[1:], strict=False)}
         chars = sorted({c for pair in pairs for c in pair})
         self._class = np.zeros(0x110000, np.uint16)
         self._class[chars] = np.arange(1, len(chars) + 1)
@@ -80,54 +93,76 @@ class PieceSampler:
         self._unit: dict[str, int] = {}
         self._long: list[list[int]] = []  # ids of characters spelt in bytes
         self._end = np.zeros(0, np.int64)  # a unit's last node
-        self._first = np.zeros(0, bool)  # whether a node is its unit's first
-        self._until = np.zeros(0)  # of edges: node + cumulative probability
+        self._edge = np.zeros(0, np.int64)  # a node's first edge; none for a unit's first node
+        self._share = np.zeros(0)  # of edges: probability of it or an earlier edge of its node
         self._from, self._piece = np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _add(self, units: list[str]) -> None:
-        end, first, until, come, piece = [], [], [], [], []
-        node, weight, longest = len(self._first), self._weight.get, self._longest
-        for unit in units:
-            alpha, floor = [1.0], 0
-            first.append(True)
-            until.append(node + 1.0)
-            come.append(node)
-            piece.append(-1)
-            for j in range(1, len(unit) + 1):
-                edges, total = [], 0.0
-                for i in range(max(floor, j - longest), j):
-                    found = weight(unit[i:j])
-                    if found is not None:
-                        share = alpha[i] * found[1]
-                        total += share
-                        edges.append((i, found[0], share))
-                if weight(unit[j - 1]) is None:
-                    octets = (MARK if unit[j - 1] == STAND_IN else unit[j - 1]).encode()
-                    share = alpha[j - 1] * self._byte_weight ** len(octets)
-                    total += share
-                    edges.append((j - 1, self._size + len(self._long), share))
+        """Filter the lattices of new units forward, all of them side by side."""
+        if not units:
+            return
+        joined = "".join(units)
+        size = np.array([len(u) for u in units])
+        begin = np.cumsum(size) - size
+        chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        left = np.repeat(begin + size, size) - np.arange(len(chars))  # characters up to the unit's end
+        node_of = np.arange(len(chars)) + np.repeat(np.arange(len(units)), size)  # node before a character
+        state, at = np.zeros(len(chars), np.int64), np.arange(len(chars))
+        come, go, piece, weight = [], [], [], []
+        for n in range(1, self._longest + 1):
+            on = left[at] >= n
+            at, state = at[on], state[on]
+            key = (state << 21) | chars[at + n - 1]
+            place = np.minimum(np.searchsorted(self._step_keys, key), len(self._step_keys) - 1)
+            hit = self._step_keys[place] == key
+            if n == 1:  # characters without a piece are spelt in bytes
+                lone = at[~hit | (self._state_piece[self._step_to[place]] < 0)]
+                for k in lone.tolist():
+                    octets = (MARK if joined[k] == STAND_IN else joined[k]).encode()
+                    piece.append(np.array([self._size + len(self._long)]))
+                    weight.append(np.array([len(octets) * self._byte_log]))
                     self._long.append([self._bytes[b] for b in octets])
-                alpha.append(total)
-                if total < 1e-200:  # only ratios matter
-                    alpha[max(0, j - longest) :] = [a * 1e200 for a in alpha[max(0, j - longest) :]]
-                    floor = max(0, j - longest)
-                sofar, here = 0.0, node + j
-                for i, p, share in edges:
-                    sofar += share
-                    until.append(here + sofar / total)
-                    come.append(node + i)
-                    piece.append(p)
-                until[-1] = here + 1.0
-                first.append(False)
-            node += len(unit) + 1
-            end.append(node - 1)
-        known = len(self._unit)
+                come.append(lone)
+                go.append(lone + 1)
+            at, state = at[hit], self._step_to[place[hit]]
+            ends = self._state_piece[state] >= 0
+            come.append(at[ends])
+            go.append(at[ends] + n)
+            piece.append(self._state_piece[state[ends]])
+            weight.append(self._log[piece[-1]])
+        come, go, piece, weight = (np.concatenate(x) for x in (come, go, piece, weight))
+        come, go = node_of[come], node_of[go - 1] + 1
+        order = np.lexsort((come, go))
+        come, go, piece, weight = come[order], go[order], piece[order], weight[order]
+        nodes = len(chars) + len(units)
+        first = np.searchsorted(go, np.arange(nodes + 1))
+        alpha = np.zeros(nodes)
+        total = weight.copy()
+        nth = np.arange(nodes) - np.repeat(begin + np.arange(len(units)), size + 1)  # a node's place in its unit
+        by_place = np.argsort(nth, kind="stable")
+        steps = np.searchsorted(nth[by_place], np.arange(int(size.max()) + 2))
+        for k in range(1, int(size.max()) + 1):
+            here = by_place[steps[k] : steps[k + 1]]
+            count = first[here + 1] - first[here]
+            starts = np.cumsum(count) - count
+            edges = np.repeat(first[here] - starts, count) + np.arange(int(count.sum()))
+            logs = alpha[come[edges]] + weight[edges]
+            top = np.maximum.reduceat(logs, starts)
+            alpha[here] = top + np.log(np.add.reduceat(np.exp(logs - np.repeat(top, count)), starts))
+            total[edges] = logs
+        share = np.cumsum(np.exp(total - alpha[go]))
+        base = np.where(first[:-1] > 0, share[first[:-1] - 1], 0.0)
+        share = share - base[go]
+        share[first[1:][first[1:] > first[:-1]] - 1] = 2.0  # the last edge takes what rounding leaves
+        old_nodes, old_edges, known = len(self._edge), len(self._share), len(self._unit)
+        edge = first[:-1] + old_edges
+        edge[begin + np.arange(len(units))] = -1
         self._unit.update(zip(units, range(known, known + len(units)), strict=True))
-        self._end = np.append(self._end, np.array(end, np.int64))
-        self._first = np.append(self._first, np.array(first, bool))
-        self._until = np.append(self._until, np.array(until))
-        self._from = np.append(self._from, np.array(come, np.int64))
-        self._piece = np.append(self._piece, np.array(piece, np.int32))
+        self._end = np.append(self._end, begin + np.arange(len(units)) + size + old_nodes)
+        self._edge = np.append(self._edge, edge)
+        self._share = np.append(self._share, share)
+        self._from = np.append(self._from, come + old_nodes)
+        self._piece = np.append(self._piece, piece.astype(np.int32))
 
     def encode(self, texts: list[str], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row and where each text begins and the last one ends."""
@@ -172,11 +207,15 @@ class PieceSampler:
         live, node, length = np.arange(len(end)), end, np.zeros(len(end), np.int64)
         while len(live):
             draw = uniform(key[live], nth[live] + (np.int64(len(steps)) << 40))
-            edge = np.searchsorted(self._until, node + np.minimum(draw, 1 - 1e-7), "right")
+            edge = self._edge[node]
+            on = np.flatnonzero(draw >= self._share[edge])
+            while len(on):
+                edge[on] += 1
+                on = on[draw[on] >= self._share[edge[on]]]
             steps.append((live, self._piece[edge]))
             length[live] += 1
             node = self._from[edge]
-            on = ~self._first[node]
+            on = self._edge[node] >= 0
             live, node = live[on], node[on]
         after = np.cumsum(length)
         pieces = np.zeros(int(after[-1]) if len(after) else 0, np.int32)
