@@ -55,13 +55,15 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     shrink = F.greatest(F.cos(F.radians(F.least(F.abs("left_lat") + size, F.lit(89.9)))), F.lit(1e-3))
     reach = F.least(size / shrink, F.lit(180.0))
     rows = F.sequence(cell(F.col("left_lat") - size, size), cell(F.col("left_lat") + size, size))
-    columns = F.sequence(cell(F.col("left_lon") - reach, size), cell(F.col("left_lon") + reach, size))
+    around_globe = max(1, int(360 / size))
+    width = 360 / around_globe
+    columns = F.sequence(cell(F.col("left_lon") - reach, width), cell(F.col("left_lon") + reach, width))
+    columns = F.array_distinct(F.transform(columns, lambda c: F.pmod(c, F.lit(around_globe))))
     around = left.withColumn("row", F.explode(rows)).withColumn("column", F.explode(columns))
-    around = around.withColumn("column", F.pmod("column", F.lit(round(360 / size))))
     placed = right.withColumns(
         {
             "row": cell(F.col("right_lat"), size),
-            "column": F.pmod(cell(F.col("right_lon"), size), F.lit(round(360 / size))),
+            "column": F.pmod(cell(F.col("right_lon"), width), F.lit(around_globe)),
         }
     )
     distance = haversine(F.col("left_lat"), F.col("left_lon"), F.col("right_lat"), F.col("right_lon"))
@@ -87,14 +89,14 @@ def nearest(locations: DataFrame, stops: DataFrame, radius: float = 500.0, wides
     """
     left, found = locations.select("location_id", "lat", "lon"), []
     reach = radius
-    while reach < widest:
+    while True:
         hits = nearby(left, stops, reach)
         best = hits.groupBy("location_id").agg(F.min(F.struct("distance", "stop_id")).alias("best"))
         found.append(materialize(best.select("location_id", "best.stop_id", "best.distance"), "nearest"))
         left = materialize(left.join(found[-1], "location_id", "left_anti"), "nearest-left")
-        if left.isEmpty() or stops.isEmpty():
+        if reach >= widest or left.isEmpty() or stops.isEmpty():
             break
-        reach *= 16
+        reach = min(16 * reach, widest)
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
