@@ -84,7 +84,8 @@ def exact_top_k(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     parts = max(1, -(-queries.count() // QUERY_ROWS))
     queries = queries.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     unbounded = queries.withColumn("tau", F.lit(None).cast("long"))
-    opening = queries.select("part").distinct().withColumn("block", F.lit(0))
+    # written first, so that its block is a column to join on and not a constant
+    opening = materialize(queries.select("part").distinct().withColumn("block", F.lit(0)), "topk-opening")
     seed = materialize(_scanned(unbounded, candidates, opening, rotation, k), "topk-seed")
     bound = seed.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("tau"))
     bounded = queries.join(bound.where(F.col("n") >= k).drop("n"), "query_id", "left")
