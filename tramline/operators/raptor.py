@@ -84,24 +84,19 @@ def route(
     if config.walk_at_source:
         walked = _improving(_walks(labels, network, config, ends), labels)
         labels = materialize(labels.unionByName(walked), "labels")
-    kept, frontier, round_ = [labels], labels, 0
-    best = _best(labels)
+    kept, frontier, round_ = labels, labels, 0
     rounds = config.max_rounds if config.max_transfers is None else config.max_transfers + 1
     while round_ < rounds and not frontier.isEmpty():
         round_ += 1
+        best = kept.select("query_id", "stop_id", "cmp_t")
         rides = _improving(_bounded(_rides(frontier, times, places, network, config, round_), limit, best, ends), best)
         rides = materialize(rides, "rides")
-        best = materialize(_best(best.unionByName(rides.select("query_id", "stop_id", "cmp_t"))), "best")
+        best = best.unionByName(rides.select("query_id", "stop_id", "cmp_t"))
         walks = _improving(_bounded(_walks(rides, network, config, ends), limit, best, ends), best)
         # a walk that betters a ride of this round takes its place
-        both = rides.unionByName(walks)
-        frontier = materialize(_first_per_stop(both), "frontier")
-        best = materialize(_best(best.unionByName(frontier.select("query_id", "stop_id", "cmp_t"))), "best")
-        kept.append(frontier)
-    out = kept[0]
-    for more in kept[1:]:
-        out = out.unionByName(more)
-    return out
+        frontier = materialize(_first_per_stop(rides.unionByName(walks)), "frontier")
+        kept = kept.unionByName(frontier)
+    return kept
 
 
 def _rides(frontier: DataFrame, times: DataFrame, places: DataFrame, network: Network, config: RouteConfig, round_: int) -> DataFrame:
@@ -193,10 +188,6 @@ def _first_per_stop(labels: DataFrame) -> DataFrame:
     return best.select("query_id", "b.round", "stop_id", "b.kind", "b.t", "b.cmp_t", "b.legs")
 
 
-def _best(labels: DataFrame) -> DataFrame:
-    return labels.groupBy("query_id", "stop_id").agg(F.min("cmp_t").alias("cmp_t"))
-
-
 def _improving(labels: DataFrame, best: DataFrame) -> DataFrame:
     known = best.groupBy("query_id", "stop_id").agg(F.min("cmp_t").alias("known"))
     met = labels.join(known, ["query_id", "stop_id"], "left")
