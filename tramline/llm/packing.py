@@ -11,6 +11,7 @@ from .tokens import END_ID, encoder
 
 SEQUENCE_TOKENS = 2048
 GROUP_DOCS = 2048
+GROUP_BYTES = 64 << 20
 BIN_BITS = 32
 PIECES = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 
@@ -51,14 +52,16 @@ def pack_documents(
     text_col: str = "text",
     sequence_tokens: int = SEQUENCE_TOKENS,
     group_docs: int = GROUP_DOCS,
+    group_bytes: int = GROUP_BYTES,
     seed: int = 7,
 ) -> DataFrame:
     """Encode documents and pack them into sequences, one row per piece.
 
     A document's ids, with the end id, are cut into whole sequences and a
     rest. Rests are packed first-fit decreasing, independently in randomised
-    groups of about group_docs documents, so the work and memory of a task
-    don't grow with the table. Returns doc_id, start, length, ids
+    groups of about group_docs documents, or fewer where their texts would
+    exceed about group_bytes, so the work and memory of a task don't grow with
+    the table. Returns doc_id, start, length, ids
     (little-endian unsigned 32-bit), doc_tokens, sequence_id (unique over
     groups, not gapless) and offset (gapless from 0 in its sequence).
 
@@ -67,7 +70,8 @@ def pack_documents(
     hashes its place in the input with its id, so no id or text can make a
     group large. An empty table gives no pieces.
     """
-    groups = max(1, -(-docs.count() // group_docs))
+    rows, octets = docs.agg(F.count("*"), F.sum(F.octet_length(text_col).cast("long"))).first()
+    groups = max(1, -(-rows // group_docs), -(-(octets or 0) // group_bytes))
     dealt = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(text_col).alias("text"),
