@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, packing, piece_sampling, quality_rank, quality_rules, sharding, simhash, token_store, topk, url_filter
+from . import langid, packing, piece_sampling, quality_rank, quality_rules, sharding, simhash, sql, token_store, topk, url_filter
 from .common import read_table, scratch_path
 from .tokens import default_tokenizer
 
@@ -92,20 +92,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in own}
 
 
-OP7_SQL = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)) AS q FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-), s AS (
-  SELECT a.vec_id AS query_id, b.vec_id, list_dot_product(a.q, b.q)::BIGINT AS score
-  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0
-), r AS (
-  SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM s
-)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_top_k": OP7_SQL}
+    return {"op4_url_filter": sql.OP4_SQL, "op7_exact_top_k": sql.OP7_SQL, "op8_quality_rules": sql.OP8_SQL}
