@@ -111,6 +111,28 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(pages.limit(0), none).count() == 0
 
 
+def test_hosts_without_outcomes_inherit(spark):
+    hosts = ["new.bad.org", "a.bad.org", "other.org", "new.good.com", "x.nowhere", ""]
+    pages = spark.createDataFrame([(i, f"http://{h}/") for i, h in enumerate(hosts)], "page_id long, url string")
+    seen = [(f"{c}.bad.org", 0) for c in "abcdefgh"] * 30 + [(f"{c}.good.com", 1) for c in "abcdefgh"] * 60
+    outcomes = spark.createDataFrame(seen, "host string, good int")
+
+    def judged(**how):
+        found = {r["host"]: r for r in url_filter.filter_urls(pages, outcomes, rules=(), **how).collect()}
+        return {h: r["verdict"] for h, r in found.items()}, {h: r["bound"] for h, r in found.items()}
+
+    verdicts, bounds = judged()
+    assert verdicts["new.bad.org"] == verdicts["a.bad.org"] == "block"
+    assert verdicts["new.good.com"] == verdicts["x.nowhere"] == verdicts[""] == "allow"
+    assert bounds["a.bad.org"] < bounds["new.bad.org"] <= bounds["other.org"] < bounds["x.nowhere"] < bounds["new.good.com"]
+    assert bounds[""] is None
+    known, by_domain, by_suffix, root, s = url_filter._posteriors(outcomes, 1.0, 1000.0)
+    means = [by_domain.where("domain = 'bad.org'").first()["mean"], by_suffix.where("suffix = 'org'").first()["mean"], root]
+    for host, m in zip(["new.bad.org", "other.org", "x.nowhere"], means, strict=True):
+        assert abs(bounds[host] - (m + 1.645 * (m * (1 - m) / (s + 1)) ** 0.5)) < 1e-6
+    assert judged(inherit=False)[0]["new.bad.org"] == "allow"
+
+
 def slow_top(rows, k):
     kept = {}
     ok = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]

@@ -42,10 +42,20 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As its SQL: hosts without labelled pages are allowed."""
+    return _judged_pages(spark, sf_dir, inherit=False)
+
+
+def op4_url_filter_inherited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hosts without labelled pages are judged by their domain, suffix or all."""
+    return _judged_pages(spark, sf_dir, inherit=True)
+
+
+def _judged_pages(spark: SparkSession, sf_dir: str, inherit: bool) -> DataFrame:
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
     outcomes = pages.join(labels, "page_id").select(url_filter.url_host(F.col("url")).alias("host"), "good")
-    return url_filter.filter_urls(pages, outcomes)
+    return url_filter.filter_urls(pages, outcomes, inherit=inherit)
 
 
 def op5_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op2_language_id,
         op3_token_store,
         op4_url_filter,
+        op4_url_filter_inherited,
         op5_piece_sampling,
         op6_packing,
         op7_exact_top_k,

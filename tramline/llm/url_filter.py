@@ -66,9 +66,39 @@ def host_reputation(outcomes: DataFrame, min_strength: float = 1.0, max_strength
     strength of a level is fitted to the data by moments, from how far the
     means of its members spread around their parents' beyond binomial noise.
     Returns host, domain, suffix, rep_good and rep_bad (the two parameters of
-    the host's posterior). Hosts without outcomes are absent; see below for
-    what they get.
+    the host's posterior). Hosts without outcomes are absent; see
+    inherited_reputation() for what they get.
     """
+    return _posteriors(outcomes, min_strength, max_strength)[0]
+
+
+def inherited_reputation(
+    hosts: DataFrame, outcomes: DataFrame, min_strength: float = 1.0, max_strength: float = 1000.0
+) -> DataFrame:
+    """host, rep_good and rep_bad for each distinct host of hosts.
+
+    A host without outcomes has the prior of a host: the strength of that
+    level and the shrunken mean of its domain, else of its suffix, else of all.
+    Without any outcomes both are null, as for a null or an empty host.
+    """
+    known, by_domain, by_suffix, root, strength = _posteriors(outcomes, min_strength, max_strength)
+    each = hosts.select("host").where("host <> ''").distinct().withColumns(
+        {"domain": registered_domain(F.col("host")), "suffix": F.substring_index("host", ".", -1)}
+    )
+    domain = by_domain.select("domain", F.col("mean").alias("domain_mean"))
+    suffix = by_suffix.select("suffix", F.col("mean").alias("suffix_mean"))
+    own = known.select("host", "rep_good", "rep_bad")
+    m, s = F.coalesce("domain_mean", "suffix_mean", F.lit(root).cast("double")), F.lit(strength).cast("double")
+    return (
+        each.join(own, "host", "left").join(domain, "domain", "left").join(suffix, "suffix", "left")
+        .select("host", F.coalesce("rep_good", m * s).alias("rep_good"), F.coalesce("rep_bad", (1 - m) * s).alias("rep_bad"))
+    )
+
+
+def _posteriors(
+    outcomes: DataFrame, min_strength: float, max_strength: float
+) -> tuple[DataFrame, DataFrame, DataFrame, float | None, float | None]:
+    """Posteriors of hosts with outcomes, shrunken domains and suffixes, root mean and strength of the host level."""
     seen = outcomes.where(F.col("host").isNotNull() & F.col("good").isNotNull())
     hosts = seen.groupBy("host").agg(F.sum(F.col("good").cast("double")).alias("good"), F.count("*").alias("n"))
     hosts = hosts.withColumns(
@@ -81,27 +111,39 @@ def host_reputation(outcomes: DataFrame, min_strength: float = 1.0, max_strength
     limits = (min_strength, max_strength)
     by_suffix = _shrunk(suffixes.withColumn("parent", F.lit(root).cast("double")), *limits)
     by_domain = _shrunk(domains.join(_mean(by_suffix, "suffix"), "suffix"), *limits)
-    by_host = _shrunk(hosts.join(_mean(by_domain, "domain"), "domain"), *limits)
+    placed = hosts.join(_mean(by_domain, "domain"), "domain")
+    strength = _strength(placed, *limits)
+    by_host = _shrunk_by(placed, strength)
     mass = F.col("parent") * F.col("strength")
-    return by_host.select(
+    known = by_host.select(
         "host",
         "domain",
         "suffix",
         (F.col("good") + mass).alias("rep_good"),
         (F.col("n") - F.col("good") + F.col("strength") - mass).alias("rep_bad"),
     )
+    return known, by_domain, by_suffix, root, strength
 
 
-def _shrunk(level: DataFrame, low: float, high: float) -> DataFrame:
-    """level (good, n, parent) with its strength and its shrunken mean."""
+def _strength(level: DataFrame, low: float, high: float) -> float | None:
+    """The fitted strength of a level (good, n, parent)."""
     m, n = F.col("parent"), F.col("n")
     spread = F.sum(n * F.pow(F.col("good") / n - m, 2))
     noise = F.sum(m * (1 - m))
     binomial = F.sum(n * m * (1 - m))
     # E[spread] = noise + (binomial - noise) / (strength + 1)
     strength = F.when(spread > noise, (binomial - noise) / (spread - noise) - 1).otherwise(F.lit(high))
-    fitted = level.agg(F.least(F.lit(high), F.greatest(F.lit(low), strength)).alias("s")).first()["s"]
-    return level.withColumn("strength", F.lit(fitted)).withColumn(
+    return level.agg(F.least(F.lit(high), F.greatest(F.lit(low), strength)).alias("s")).first()["s"]
+
+
+def _shrunk(level: DataFrame, low: float, high: float) -> DataFrame:
+    """level (good, n, parent) with its strength and its shrunken mean."""
+    return _shrunk_by(level, _strength(level, low, high))
+
+
+def _shrunk_by(level: DataFrame, strength: float | None) -> DataFrame:
+    m, n = F.col("parent"), F.col("n")
+    return level.withColumn("strength", F.lit(strength)).withColumn(
         "mean", (F.col("good") + m * F.col("strength")) / (n + F.col("strength"))
     )
 
@@ -118,23 +160,26 @@ def filter_urls(
     url_col: str = "url",
     threshold: float = 0.5,
     z: float = 1.645,
+    inherit: bool = True,
 ) -> DataFrame:
     """Judge every page: page_id, host, path, rule, verdict, bound.
 
     The longest fitting rule decides. Else the host's reputation does: the
     page is blocked if the upper posterior bound (mean plus z standard
     deviations of the beta posterior) lies below threshold, so only hosts
-    that are bad beyond doubt go. A host without outcomes isn't blocked and
-    has a null bound. outcomes has host and good. A null url, or one without
+    that are bad beyond doubt go. A host without outcomes inherits the prior
+    of its domain, suffix or all; with inherit false, or if no host has
+    outcomes, it isn't blocked and has a null bound. outcomes has host and good. A null url, or one without
     ://, has empty host and path. Repeated rows are judged each; an empty
     table stays empty; other columns are ignored.
     """
     a, b = F.col("rep_good"), F.col("rep_bad")
     mean, total = a / (a + b), a + b
     bound = mean + z * F.sqrt(mean * (1 - mean) / (total + 1))
-    reputation = host_reputation(outcomes).select("host", F.round(bound, 6).alias("bound"))
     url = F.col(url_col)
     placed = pages.select(F.col(id_col).alias("page_id"), url_host(url).alias("host"), url_path(url).alias("path"))
+    known = inherited_reputation(placed, outcomes) if inherit else host_reputation(outcomes)
+    reputation = known.select("host", F.round(bound, 6).alias("bound"))
     judged = placed.join(reputation, "host", "left").withColumn(
         "match", matching_rule(F.col("host"), F.col("path"), rules)
     )
