@@ -4,7 +4,7 @@ import pytest
 
 from tramline.operators.network import ScheduleError, build_network
 from tramline.operators.raptor import RouteConfig
-from tramline.operators.routing import latest_equal_start, reachable, within_window
+from tramline.operators.routing import latest_equal_start, reachable, shortest_over_arrivals, within_window
 
 from .networks import HOUR, MINUTE, ROUTES, ask, clock, ends, planner
 
@@ -125,3 +125,18 @@ def test_backward_times_are_an_error(spark):
         bad = planner(spark, ("R1",))
         times = bad.schedule.stop_times.withColumn("arrival", bad.schedule.stop_times["arrival"] - 7200)
         build_network(type(bad.schedule)(**{**bad.schedule.tables(), "stop_times": times}))
+
+
+def test_shortest_over_arrivals_equals_every_minute(spark):
+    plan, window, walk = planner(spark, ("R1", "R2"), {"R2": 4}, hours=(7, 9)), 30 * MINUTE, 90
+    last, config = 9 * HOUR, RouteConfig(max_transfers=1)
+    ways = shortest_over_arrivals(plan, spark.createDataFrame([("q", last)], "query_id string, t long"), ends(spark, "D", walk=walk), config, window)
+    found = {r["stop_id"]: (r["seconds"], r["arrival"]) for r in ways.collect()}
+    each = [(f"{t}", t) for t in range(last - window + 30, last + 1, 30)]
+    targets = spark.createDataFrame([(q, "D", walk) for q, _ in each], "query_id string, stop_id string, walk long")
+    best = {}
+    for r in reachable(plan, spark.createDataFrame(each, "query_id string, t long"), targets, config, backward=True).collect():
+        end = r["arrival"] + walk
+        if last - window < end <= last:
+            best[r["stop_id"]] = min(best.get(r["stop_id"], (10**9, 0)), (end - r["departure"], -end))
+    assert len(found) > 5 and found == {s: (seconds, -end) for s, (seconds, end) in best.items()}

@@ -60,6 +60,13 @@ def test_isolines(service):
     assert service.isolines("A", DAY, QueryConfig(window=3 * 3600)).where("stop_id = 'C'").first()["seconds"] == 90
 
 
+def test_isolines_to_a_stop_over_a_window(service):
+    by = DAY + dt.timedelta(hours=5)
+    assert service.isolines("C", by, arrive=True).where("stop_id = 'A'").first()["seconds"] == 180
+    quick = service.isolines("C", by, QueryConfig(window=4 * 3600), arrive=True).where("stop_id = 'A'").first()
+    assert quick["seconds"] == 90
+
+
 def test_lookups(service):
     assert service.stop("A").count() == 1
     with pytest.raises(NotFound):

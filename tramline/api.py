@@ -148,7 +148,9 @@ class TransitService:
         plan, asked = self._plan(when, query)
         sources, from_stop = self._ends(plan, source, query)
         bounds = RouteConfig(query.max_transfers, query.min_transfer, query.max_walk, query.max_travel, from_stop, True)
-        if query.window and not arrive:
+        if query.window and arrive:
+            return routing.shortest_over_arrivals(plan, asked, sources, bounds, query.window)
+        if query.window:
             return routing.shortest_over_window(plan, asked, sources, bounds, query.window)
         found = routing.reachable(plan, asked, sources, bounds, arrive)
         return found.orderBy(F.desc("departure") if arrive else F.asc("arrival"), "stop_id")

@@ -210,6 +210,42 @@ def shortest_over_window(planner: Planner, queries: DataFrame, sources: DataFram
     return best.select(F.col("asked").alias("query_id"), "stop_id", "b.seconds", "b.departure", "b.arrival", "b.round", "b.legs")
 
 
+def arrivals_in(planner: Planner, queries: DataFrame, targets: DataFrame, window: int) -> DataFrame:
+    """(query_id, t): each query's own time and every arrival at its target stops in (t - window, t].
+
+    The mirror of departures_in().
+    """
+    times = planner.times(backward=True)
+    last = targets.select("query_id", "stop_id", "walk")
+    paths = planner.network.footpaths.select(F.col("to_stop").alias("stop_id"), "from_stop", "duration")
+    walked = last.join(paths, "stop_id").select("query_id", F.col("from_stop").alias("stop_id"), (F.col("walk") + F.col("duration")).alias("walk"))
+    comes = last.unionByName(walked).join(times.where("pos > 0").select("stop_id", "arr"), "stop_id")
+    asked = queries.select("query_id", "t")
+    at = comes.join(asked, "query_id").withColumn("end", F.col("arr") + F.col("walk"))
+    inside = at.where((F.col("end") <= F.col("t")) & (F.col("end") > F.col("t") - window))
+    return asked.unionByName(inside.select("query_id", F.col("end").alias("t"))).distinct()
+
+
+def shortest_over_arrivals(planner: Planner, queries: DataFrame, targets: DataFrame, config: RouteConfig, window: int) -> DataFrame:
+    """Per query and stop the way of least seconds to the targets over all arrivals in (t - window, t].
+
+    Arrivals and seconds include the walk from the last stop; ties go to the later arrival.
+    """
+    rows = arrivals_in(planner, queries, targets, window).select(F.concat_ws("@", "query_id", "t").alias("row_id"), "query_id", "t")
+    spread = targets.join(rows.select("row_id", "query_id"), "query_id").select(F.col("row_id").alias("query_id"), "stop_id", "walk")
+    found = reachable(planner, rows.select(F.col("row_id").alias("query_id"), "t"), spread, config, backward=True)
+    limits = rows.join(queries.select("query_id", F.col("t").alias("t0")), "query_id")
+    named = found.join(limits.select("row_id", F.col("query_id").alias("asked"), "t0"), found["query_id"] == F.col("row_id")).drop("query_id")
+    walks = targets.groupBy(F.col("query_id").alias("asked"), F.col("stop_id").alias("to_stop")).agg(F.min("walk").alias("walk_out"))
+    ended = named.withColumn("to_stop", F.element_at("legs", -1)["to_stop"]).join(walks, ["asked", "to_stop"])
+    ended = ended.withColumn("arrival", F.col("arrival") + F.col("walk_out")).where(F.col("arrival") > F.col("t0") - window)
+    order = F.struct(
+        (F.col("arrival") - F.col("departure")).alias("seconds"), (-F.col("arrival")).alias("late"), "departure", "arrival", "round", "legs"
+    )
+    best = ended.groupBy("asked", "stop_id").agg(F.min(order).alias("b"))
+    return best.select(F.col("asked").alias("query_id"), "stop_id", "b.seconds", "b.departure", "b.arrival", "b.round", "b.legs")
+
+
 def without_bound(config: RouteConfig) -> RouteConfig:
     """The configuration for a search whose travel time is bounded afterwards."""
     return replace(config, max_travel=None)

@@ -288,6 +288,13 @@ def shortest_isolines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.shortest_over_window(plan, queries, sources, RouteConfig(max_transfers=1), 900).drop("legs")
 
 
+def shortest_isolines_arrive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, _, targets = asked(spark)
+    later = queries.select("query_id", (F.col("t") + 36_000).alias("t"))
+    plan = planner_of(schedule_of(spark, sf_dir))
+    return routing.shortest_over_arrivals(plan, later, targets, RouteConfig(max_transfers=1), 900).drop("legs")
+
+
 def queries() -> dict[str, Query]:
     own = [
         active_service_dates, active_trips, mode_filter, access_filter, bike_filter, validity, feature_flags, service_keys,
@@ -296,5 +303,6 @@ def queries() -> dict[str, Query]:
         search_relevance, nearest_stop, nearest_stops, access_stops, walk_transfers, stop_ancestors, stop_access, patterns,
         trip_order, trip_positions, connecting_hops, transfers_precedence, stop_times_json, earliest_arrival_k1, isolines_k3,
         latest_departure_k2, pareto_k3, journey_legs, journey_counts, timing_table, window_connections, range_k2, shortest_isolines,
+        shortest_isolines_arrive,
     ]
     return {f.__name__: f for f in own}
