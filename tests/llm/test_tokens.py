@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -36,9 +37,43 @@ def test_encoder_equals_the_library(rows, wanted, small):
     assert [ids[i:j].tolist() for i, j in zip(at, at[1:], strict=False)] == [wanted[r[0]] for r in rows]
 
 
-def test_first_fit_decreasing():
-    import random
+@pytest.mark.parametrize("form", ["a{0}b", "!{0}! {0}{0}", "1{0} x{0}'s {0}'t"])
+def test_every_character_as_the_library(form):
+    """Code points up to the ideographs of the second supplementary plane, and a sample of the rest."""
+    from tokenizers import Tokenizer
+
+    model, own = Tokenizer.from_file(default_tokenizer()), TextEncoder(default_tokenizer())
+    codes = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x20000 or c % 64 == 0)]
+    for at in range(0, len(codes), 20_000):
+        texts = [form.format(chr(c)) for c in codes[at : at + 20_000]]
+        ids, cuts = own.encode(texts, None)
+        found = model.encode_batch_fast(texts, add_special_tokens=False)
+        assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [f.ids for f in found]
+
+
+def test_mixed_characters_as_the_library():
+    from tokenizers import Tokenizer
 
+    rng = random.Random(3)
+    pools = [range(32, 127), range(0xA0, 0x250), range(0x300, 0x370), range(0x370, 0x590), range(0x590, 0x1200), range(0xAC00, 0xAD00)]
+    pools += [range(0x1E00, 0x2100), range(0x10000, 0x20000), [0x27, 0x20, 0x3A3, 0x130, 0x49, 0x307, 0x212B]]
+    texts = []
+    for _ in range(4000):
+        some = rng.sample(pools, rng.choice([1, 2, 3]))
+        texts.append("".join(chr(rng.choice(rng.choice(some))) for _ in range(rng.randint(1, 30))))
+    ids, cuts = TextEncoder(default_tokenizer()).encode(texts, None)
+    found = Tokenizer.from_file(default_tokenizer()).encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [f.ids for f in found]
+
+
+def test_other_models_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError):
+        TextEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def test_first_fit_decreasing():
     rng = random.Random(1)
     lengths = [rng.randint(1, 100) for _ in range(300)]
     placed, room = first_fit_decreasing(lengths, 100), []

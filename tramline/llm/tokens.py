@@ -8,16 +8,16 @@ library encodes each part that the worker hasn't met before.
 
 from __future__ import annotations
 
+import json
 import os
 import unicodedata
 from functools import lru_cache
 
 import numpy as np
-import regex
 
 MEMO_PARTS = 1_000_000
 END_ID = 1
-SPACE, LETTER, DIGIT, OTHER = range(4)
+SPACE, LETTER, DIGIT, OTHER, ODD, UNKNOWN = range(6)
 
 
 def default_tokenizer() -> str:
@@ -86,13 +86,21 @@ class TextEncoder:
     """Encodes texts to unsigned 32-bit ids, as the library does for whole texts.
 
     Only for BPE models that normalise by NFC and lower case, split by SPLIT
-    and mark ends of parts, such as word_bpe_49k. Words with an apostrophe
-    and long parts are encoded one by one with a memo; texts in which the
-    model might find a special token, or that aren't in NFC, are given to the
-    library whole.
+    and mark ends of parts, such as word_bpe_49k; another model is an error.
+    Words with an apostrophe and long parts are encoded one by one with a
+    memo; texts in which the model might find a special token, that aren't in
+    NFC, or that hold a character of kind ODD are given to the library whole.
+
+    What kind a character is, the model's own splitter says, at the
+    character's first occurrence. ODD ones are those whose normal form isn't
+    known to be the same here and in the library: its normaliser makes of one
+    alone something else than its lower case, that is several characters, or
+    it is a mark that wasn't in the Unicode standard before its normal forms
+    became stable.
     """
 
-    # Fixed value: the pattern by which the model splits normalised text.
+    # How the model normalises text and by which pattern it splits it.
+    NORMAL = ["NFC", "Replace", "Lowercase"]
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
     def __init__(self, path: str, memo_parts: int = MEMO_PARTS, chunk_chars: int = 1 << 20):
@@ -100,18 +108,50 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self._model = Tokenizer.from_file(path)
+        self._check()
         vocab = self._model.get_vocab(with_added_tokens=False)
         self._ends = np.zeros(self._model.get_vocab_size(), bool)
         self._ends[[i for piece, i in vocab.items() if piece.endswith("</w>")]] = True
-        every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        self._kind = np.full(0x110000, OTHER, np.uint8)
-        for kind, pattern in ((SPACE, r"\s"), (LETTER, r"\p{L}"), (DIGIT, r"\p{N}")):
-            self._kind[[ord(c) for c in regex.findall(pattern, every)]] = kind
+        self._kind = np.full(0x110000, UNKNOWN, np.uint8)
         self._table = PartTable(memo_parts)
         self._odd: dict[bytes, int] = {}
         self._chunk = chunk_chars
         self._forget()
 
+    def _check(self) -> None:
+        made = json.loads(self._model.to_str())
+        steps = (made["normalizer"] or {}).get("normalizers", [])
+        splits = (made["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        known = (
+            [x["type"] for x in steps] == self.NORMAL
+            and splits[0].get("pattern") == {"Regex": self.SPLIT}
+            and [x["type"] for x in splits] == ["Split", "ByteLevel"]
+            and made["model"].get("end_of_word_suffix") == "</w>"
+            and all(x["content"].startswith("<|") for x in made["added_tokens"])
+        )
+        if not known:
+            raise ValueError("not a model that this encoder knows how to split for")
+
+    def _learn_kinds(self, chars: np.ndarray) -> None:
+        """Set the kind of every character that isn't known yet."""
+        split = self._model.pre_tokenizer.pre_tokenize_str
+        for code in np.unique(chars[self._kind[chars] == UNKNOWN]).tolist():
+            char = chr(code)
+            mark = unicodedata.category(char) in ("Mn", "Mc", "Me", "Cn")
+            normal = " " if char.isspace() else char.lower()
+            if (
+                self._model.normalizer.normalize_str(char) != normal
+                or len(normal) > 1
+                or (mark and not unicodedata.ucd_3_2_0.category(char).startswith("M"))
+            ):
+                self._kind[code] = ODD
+            elif not split(char):
+                self._kind[code] = SPACE
+            elif len(split(f"a{char}a")) == 1:
+                self._kind[code] = LETTER
+            else:
+                self._kind[code] = OTHER if len(split(f"!{char}!")) == 1 else DIGIT
+
     def _forget(self) -> None:
         self._table.clear()
         self._odd.clear()
@@ -140,8 +180,18 @@ class TextEncoder:
         return ids, np.concatenate(([0], np.cumsum(np.concatenate(all_n)))) if all_n else np.zeros(1, np.int64)
 
     def _chunk_ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        whole = {i: self._library(t) for i, t in enumerate(texts) if "<|" in t or "Σ" in t or not unicodedata.is_normalized("NFC", t)}
-        plain = ["" if i in whole else t.lower() for i, t in enumerate(texts)]
+        joined = "\n".join(texts)
+        chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        self._learn_kinds(chars)
+        lasts = np.cumsum([len(t) + 1 for t in texts])
+        odd = set(np.searchsorted(lasts, np.flatnonzero(self._kind[chars] == ODD), "right").tolist())
+        whole = {
+            i: self._library(t)
+            for i, t in enumerate(texts)
+            if i in odd or "<|" in t or not unicodedata.is_normalized("NFC", t)
+        }
+        # the library lower-cases every sigma alike, wherever it stands
+        plain = ["" if i in whole else t.replace("Σ", "σ").lower() for i, t in enumerate(texts)]
         ids, n = self._plain_ids(plain)
         if whole:
             cuts = np.concatenate(([0], np.cumsum(n)))
@@ -155,6 +205,7 @@ class TextEncoder:
         joined = "\n".join([*texts, ""])
         octets = joined.encode()
         chars = np.frombuffer(joined.encode("utf-32-le"), "<u4")
+        self._learn_kinds(chars)
         kind = self._kind[chars]
         before = np.concatenate(([SPACE], kind[:-1]))
         starts = np.flatnonzero((kind != SPACE) & ((kind != before) | (kind == DIGIT)))
