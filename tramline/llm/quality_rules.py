@@ -16,13 +16,21 @@ WINDOW_WORDS = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-#: Sketches hold bins whose bounds grow by this factor, so quantiles are within 1 %.
+#: Sketches hold bins whose bounds grow by this factor, so quantiles are within 2 %.
 GAMMA = 1.02
-#: A group with fewer rows takes its language's thresholds, and a language with fewer those of all.
-MIN_GROUP_ROWS = 200
+#: Texts that a parent's quartiles count as, against those of a group itself.
+PARENT_TEXTS = 100
 FENCE = 3.0
-#: metric: (value, least spread of the middle half that counts). Values are whole numbers.
-LEAST_SPREAD = {"symbols": 100, "dup_lines": 100, "repeats": 60, "word_length": 100}
+#: Standard errors by which a document must lie beyond a fence.
+SURE = 3.0
+#: metric: (what is counted, per what, times, how many make one event)
+RATES = {
+    "symbols": ("n_symbols", "n_words", 1000, 1),
+    "dup_lines": ("n_dup_lines", "n_lines", 1000, 1),
+    "repeats": ("n_repeat_words", "n_words", 1000, 2 * WINDOW_WORDS),
+    "word_length": ("word_chars", "n_words", 100, 1),
+}
+TWO_SIDED = ("word_length",)
 
 _WHITE = b" \t\n\v\f\r"
 _NOT_STARTS = bytes(range(128, 192))
@@ -32,28 +40,36 @@ def count_text(text: bytes) -> tuple[int, int, int, int, int, int]:
     """COUNTS of a UTF-8 text, then its number of lines with a word."""
     words = text.split()
     lines = [x for x in text.split(b"\n") if x.strip()]
-    windows = list(zip(*(words[i:] for i in range(WINDOW_WORDS)), strict=False))
-    repeated = 0
-    if len(set(windows)) < len(windows):
-        times: dict[tuple, int] = {}
-        for w in windows:
-            times[w] = times.get(w, 0) + 1
-        until = 0
-        for at, w in enumerate(windows):
-            if times[w] > 1:
-                repeated += at + WINDOW_WORDS - max(until, at)
-                until = at + WINDOW_WORDS
     return (
         len(words),
         len(text.translate(None, _WHITE + _NOT_STARTS)),
         len(text) - len(text.translate(None, SYMBOLS)),
         len(lines) - len(set(lines)),
-        repeated,
+        words_in_repeats(words),
         len(lines),
     )
 
 
+def words_in_repeats(words: list[bytes]) -> int:
+    """How many words lie in a window of WINDOW_WORDS that occurs twice or more."""
+    number: dict[bytes, int] = {}
+    at = np.fromiter((number.setdefault(w, len(number)) for w in words), np.int64, len(words))
+    if len(number) == len(words) or len(words) <= WINDOW_WORDS:
+        return 0
+    window = at
+    for k in range(1, WINDOW_WORDS):  # windows of k + 1 words, numbered
+        pairs = window[:-1] * len(number) + at[k:]
+        window = np.unique(pairs, return_inverse=True)[1]
+    again = np.bincount(window)[window] > 1
+    inside = np.zeros(len(words) + 1, np.int64)
+    np.add.at(inside, np.flatnonzero(again), 1)
+    np.add.at(inside, np.flatnonzero(again) + WINDOW_WORDS, -1)
+    return int((np.cumsum(inside) > 0).sum())
+
+
 def text_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, source_col: str) -> DataFrame:
+    """doc_id, lang, source, COUNTS and n_lines of every row; null lang or source is the empty one."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = np.array([count_text(t) for t in utf8_values(batch.column(3))], np.int64).reshape(-1, 6)
@@ -73,19 +89,32 @@ def text_counts(docs: DataFrame, id_col: str, text_col: str, lang_col: str, sour
 
 
 def metrics() -> dict[str, Column]:
-    words = F.greatest(F.col("n_words"), F.lit(1))
-
-    def share(part: Column, whole: Column, times: int) -> Column:
-        return F.floor(part * times / whole).cast("long")
-
+    """Each metric as a whole number, rounded down."""
     return {
-        "symbols": share(F.col("n_symbols"), words, 1000),
-        "dup_lines": share(F.col("n_dup_lines"), F.greatest(F.col("n_lines"), F.lit(1)), 1000),
-        "repeats": share(F.col("n_repeat_words"), words, 1000),
-        "word_length": share(F.col("word_chars"), words, 100),
+        name: F.floor(F.col(part) * times / F.greatest(F.col(whole), F.lit(1))).cast("long")
+        for name, (part, whole, times, _) in RATES.items()
     }
 
 
+def sure_values() -> dict[str, tuple[Column, Column]]:
+    """Of each metric the least and the greatest value that a document's size leaves likely.
+
+    Events are taken to scatter like independent ones, by the root of their
+    number; a mean word length by half of it over the root of the words. So a
+    single symbol in a short text proves nothing, and no fixed least count is
+    needed.
+    """
+    out = {}
+    for name, (part, whole, times, event) in RATES.items():
+        size, n = F.greatest(F.col(whole), F.lit(1)).cast("double"), F.col(part).cast("double")
+        if name in TWO_SIDED:
+            error = SURE * 0.5 * n / F.sqrt(size)
+        else:
+            error = SURE * F.sqrt(n / event) * event
+        out[name] = ((n - error) * times / size, (n + error) * times / size)
+    return out
+
+
 def sketch(values: DataFrame, by: list[str]) -> DataFrame:
     """Quantile sketches of column value per by: rows by..., bin, n.
 
@@ -115,31 +144,36 @@ def quartiles(sketches: DataFrame, by: list[str]) -> DataFrame:
 
 
 def fences(counts: DataFrame) -> DataFrame:
-    """(lang, source, low_<metric>, high_<metric>): Tukey's far fences.
+    """(lang, source, low_<metric>, high_<metric>): Tukey's far fences, FENCE spreads off the middle half.
 
-    A document lies outside where a metric is further than FENCE times the
-    spread of the group's middle half from that half.
+    Quartiles are those of the texts that differ in their counts, so that
+    copies of one text count once. They shrink from group to language to all,
+    by PARENT_TEXTS texts against the group's own, so a new group has its
+    parent's thresholds and grows into its own.
     """
     pairs = F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in metrics().items()])
-    values = counts.where(F.col("n_words") >= MIN_WORDS).select("lang", "source", F.explode(pairs).alias("m"))
+    texts = counts.where(F.col("n_words") >= MIN_WORDS).select("lang", "source", *COUNTS, "n_lines").distinct()
+    values = texts.select("lang", "source", F.explode(pairs).alias("m"))
     fine = materialize(sketch(values.select("lang", "source", "m.*"), ["lang", "source", "metric"]), "quality-sketch")
     own = quartiles(fine, ["lang", "source", "metric"])
     lang = quartiles(merged(fine, ["lang", "metric"]), ["lang", "metric"])
     every = quartiles(merged(fine, ["metric"]), ["metric"])
-    for name, level in (("lang", lang), ("every", every)):
-        cols = [F.col(c).alias(f"{name}_{c}") for c in ("rows", "q1", "q3")]
-        own = own.join(level.select(*[c for c in level.columns if c in ("lang", "metric")], *cols), [c for c in ("lang", "metric") if c in level.columns])
-    pick = F.when(F.col("rows") >= MIN_GROUP_ROWS, F.struct("q1", "q3")).when(
-        F.col("lang_rows") >= MIN_GROUP_ROWS, F.struct(F.col("lang_q1").alias("q1"), F.col("lang_q3").alias("q3"))
-    ).otherwise(F.struct(F.col("every_q1").alias("q1"), F.col("every_q3").alias("q3")))
-    least = F.element_at(F.create_map(*[x for k, v in LEAST_SPREAD.items() for x in (F.lit(k), F.lit(float(v)))]), F.col("metric"))
-    spread = FENCE * F.greatest(F.col("q.q3") - F.col("q.q1"), least)
-    cut = own.withColumn("q", pick).select(
-        "lang", "source", "metric", (F.col("q.q1") - spread).alias("low"), (F.col("q.q3") + spread).alias("high")
-    )
+    names = ("rows", "q1", "q3")
+    lang = lang.withColumnsRenamed({c: f"lang_{c}" for c in names})
+    every = every.withColumnsRenamed({c: f"every_{c}" for c in names})
+    placed = own.join(lang, ["lang", "metric"]).join(every, ["metric"])
+
+    def shrunk(rows: Column, q: Column, parent: Column) -> Column:
+        return (rows * q + PARENT_TEXTS * parent) / (rows + PARENT_TEXTS)
+
+    for q in ("q1", "q3"):
+        parent = shrunk(F.col("lang_rows"), F.col(f"lang_{q}"), F.col(f"every_{q}"))
+        placed = placed.withColumn(q, shrunk(F.col("rows"), F.col(q), parent))
+    spread = FENCE * (F.col("q3") - F.col("q1"))
+    cut = placed.select("lang", "source", "metric", (F.col("q1") - spread).alias("low"), (F.col("q3") + spread).alias("high"))
     wide = [
         F.max(F.when(F.col("metric") == k, F.col(side))).alias(f"{side}_{k}")
-        for k in LEAST_SPREAD
+        for k in RATES
         for side in ("low", "high")
     ]
     return materialize(cut.groupBy("lang", "source").agg(*wide), "quality-fences")
@@ -152,23 +186,18 @@ def judge_documents(
 
     Words lie between ASCII white space. base_failed: fewer than MIN_WORDS
     words, or over MAX_REPEAT_PERCENT % of them in windows of five that occur
-    again. kept: not base_failed and every metric inside the fences of its
-    language and source; fences come from quantile sketches over all
-    documents of at least MIN_WORDS words. A null text has no words; null
-    language or source is the group of the empty one. Null ids are carried,
-    repeated rows judged each, an empty table stays empty.
+    again. kept: not base_failed and no metric surely outside the fences of its
+    language and source; see fences() and sure_values(). A null text has no
+    words; null language or source is the group of the empty one. Null ids
+    are carried, repeated rows judged each, an empty table stays empty.
     """
     counts = materialize(text_counts(docs, id_col, text_col, lang_col, source_col), "quality-counts")
     judged = counts.join(fences(counts), ["lang", "source"], "left")
-    outside = F.filter(
-        F.array(
-            *[
-                F.when((v < F.col(f"low_{k}")) | (v > F.col(f"high_{k}")), F.lit(k))
-                for k, v in metrics().items()
-            ]
-        ),
-        lambda x: x.isNotNull(),
-    )
+    broken = []
+    for k, (least, most) in sure_values().items():
+        out = least > F.col(f"high_{k}")
+        broken.append(F.when(out | (most < F.col(f"low_{k}")) if k in TWO_SIDED else out, F.lit(k)))
+    outside = F.filter(F.array(*broken), lambda x: x.isNotNull())
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return judged.withColumns({"base_failed": failed, "broken": outside}).select(
         "doc_id", *COUNTS, "base_failed", (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"), "broken"
