@@ -3,81 +3,110 @@ import datetime as dt
 import pytest
 
 from tramline.api import InvalidRequest, NotActive, NotFound, QueryConfig, ServiceConfig, TransitService
+from tramline.operators import journeys
 from tramline.sources.gtfs import from_rows
 from tramline.sources.snapshots import write_snapshot
 from tramline.streaming.refresh import CurrentSchedule, follow_snapshots
 
-DAY = dt.datetime(2008, 5, 15)
+DAY = dt.datetime(2025, 3, 5)
+MINUTE, HOUR = 60, 3600
 
 
 @pytest.fixture(scope="module")
 def service(spark):
-    """Stations B, C, D with platforms on a line from A; one fast trip and slower ones every two hours."""
-    stops = [("A", 0.0, 0.0, None), ("B", 0.0, 1.0, None), ("C", 0.0, 2.0, None), ("D", 0.0, 3.0, None)]
-    stops += [("B1", 0.001, 1.0, "B"), ("B2", -0.001, 1.0, "B"), ("C1", 0.001, 2.0, "C"), ("C2", -0.001, 2.0, "C"), ("D1", 0.005, 3.0, "D"), ("D2", -0.005, 3.0, "D")]
-    line, times = {"R1": ("A", "B1", "C", "D1"), "R2": ("A", "B2", "C", "D2")}, []
-    at = {"T1": ("R1", 0, 1.0)} | {f"T{i}2": ("R2", i * 7200, 0.5 if i == 1 else 1.0) for i in range(3)}
-    for trip, (route, start, pace) in at.items():
-        for i, stop in enumerate(line[route]):
-            base = 60 + 120 * i
-            times.append((len(times), trip, stop, int(start + base * pace), int(start + (base + 60) * pace)))
+    """A ferry line from the Pier to the Isle, and a bus on from the Isle's second quay to the Cape.
+
+    Ferries leave at 7, 8 and 9 and take 30 minutes, at 9 only 20; buses leave
+    ten minutes to the full hour and take 15.
+    """
+    stops = [
+        ("pier", "Pier", 10.0, 20.0, None), ("isle", "Isle", 10.1, 20.0, None), ("quay1", "Isle Quay 1", 10.1005, 20.0, "isle"),
+        ("quay2", "Isle Quay 2", 10.0995, 20.0, "isle"), ("cape", "Cape", 10.3, 20.0, None),
+    ]
+    times = []
+    for hour, takes in ((7, 30), (8, 30), (9, 20)):
+        start = hour * HOUR
+        times += [(f"ferry{hour}", "pier", start, start), (f"ferry{hour}", "quay1", start + takes * MINUTE, start + takes * MINUTE)]
+        start += 50 * MINUTE
+        times += [(f"bus{hour}", "quay2", start, start), (f"bus{hour}", "cape", start + 15 * MINUTE, start + 15 * MINUTE)]
     schedule = from_rows(
         spark,
-        agency=[("a", "A", "", "UTC")],
-        calendar=[("always", *[True] * 7, dt.date(2008, 1, 1), dt.date(2008, 12, 31))],
-        stops=[(i, i, a, b, p, 0) for i, a, b, p in stops],
-        routes=[("R1", "a", "1", "", 1), ("R2", "a", "2", "", 1)],
-        trips=[(t, r, "always", None, 0, 0) for t, (r, _, _) in at.items()],
-        stop_times=times,
+        agency=[("sea", "Sea", "", "UTC")],
+        calendar=[("daily", *[True] * 7, dt.date(2025, 1, 1), dt.date(2025, 12, 31))],
+        stops=[(*s, 0) for s in stops],
+        routes=[("ferry", "sea", "F", "", 4), ("bus", "sea", "B", "", 3)],
+        trips=[(f"{kind}{h}", kind, "daily", None, 0, 0) for kind in ("ferry", "bus") for h in (7, 8, 9)],
+        stop_times=[(i, *t) for i, t in enumerate(times)],
+        transfers=[("quay1", "quay2", 2, 5 * MINUTE), ("quay2", "quay1", 2, 5 * MINUTE)],
     )
     return TransitService(schedule, ServiceConfig(days=1, between_stops=-1))
 
 
-def departures(found):
-    return [f"{r['departure'] // 3600:02d}:{r['departure'] % 3600 // 60:02d}" for r in found.collect()]
+def clocks(found, column="departure"):
+    return [f"{r[column] // HOUR:02d}:{r[column] % HOUR // MINUTE:02d}" for r in found.collect()]
 
 
 def test_connections(service):
-    assert departures(service.connections("A", "C", DAY)) == ["00:02"]
-    assert departures(service.connections("A", "C", DAY, QueryConfig(window=3 * 3600))) == ["00:02", "02:01"]
-    late = service.connections("A", "C", DAY + dt.timedelta(hours=5), arrive=True)
-    assert departures(late) == ["04:02"]
+    assert clocks(service.connections("pier", "cape", DAY)) == ["07:00"]
+    every = service.connections("pier", "cape", DAY, QueryConfig(window=10 * HOUR))
+    assert clocks(every) == ["07:00", "08:00", "09:00"] and clocks(every, "arrival") == ["08:05", "09:05", "10:05"]
+    late = service.connections("pier", "cape", DAY + dt.timedelta(hours=9, minutes=30), arrive=True)
+    assert clocks(late) == ["08:00"]
+    # a station stands for its quays
+    assert clocks(service.connections("pier", "isle", DAY), "arrival") == ["07:30"]
+
+
+def test_legs_are_named(service):
+    legs = journeys.leg_details(service.connections("pier", "cape", DAY), service.schedule, ["query_id", "round"]).orderBy("nth").collect()
+    assert [(x["kind"], x["route_id"], x["from_name"], x["to_name"]) for x in legs] == [
+        ("RIDE", "ferry", "Pier", "Isle Quay 1"), ("WALK", "transfer_quay1_quay2", "Isle Quay 1", "Isle Quay 2"), ("RIDE", "bus", "Isle Quay 2", "Cape"),
+    ]
+    assert [x["distance"] for x in legs][:2] == [11_175, 111] and legs[0]["route_short_name"] == "F"
 
 
 def test_points_and_filters(service):
-    walked = service.connections((0.0, -0.001), "C", DAY).first()
-    assert walked["walk_in"] == 118 - 15 + 15 or walked["walk_in"] > 100
-    assert walked["departure"] < 120
+    # 0.001 degrees south of the pier: 111.2 m, 103 s on foot and 15 s of access
+    walked = service.connections((9.999, 20.0), "cape", DAY).first()
+    assert walked["walk_in"] == 118 and walked["departure"] == 7 * HOUR - 118
+    legs = journeys.with_mile_legs(service.connections((9.999, 20.0), "cape", DAY), 60).first()["legs"]
+    assert (legs[0]["kind"], legs[0]["from_stop"], legs[0]["to_stop"], legs[0]["arr"] - legs[0]["dep"]) == ("WALK", None, "pier", 118)
+    short = journeys.with_mile_legs(service.connections((9.999, 20.0), "cape", DAY), 200).first()["legs"]
+    assert short[0]["kind"] == "RIDE"
+    with pytest.raises(InvalidRequest):
+        service.connections("pier", "pier", DAY)
+    with pytest.raises(InvalidRequest):
+        service.connections("pier", "cape", dt.datetime(2026, 1, 1))
     with pytest.raises(InvalidRequest):
-        service.connections("A", "A", DAY)
+        service.board("pier", dt.datetime(2024, 1, 1))
     with pytest.raises(ValueError):
-        service.connections("A", "C", DAY, QueryConfig(wheelchair=True)).count()
-    assert service.connections("A", "C", DAY, QueryConfig(modes=("BUS",))).count() == 0
+        service.connections("pier", "cape", DAY, QueryConfig(wheelchair=True)).count()
+    assert service.connections("pier", "cape", DAY, QueryConfig(modes=("BUS",))).count() == 0
 
 
 def test_isolines(service):
-    assert service.isolines("A", DAY).count() == 5
-    assert service.isolines("A", DAY, QueryConfig(window=3 * 3600)).where("stop_id = 'C'").first()["seconds"] == 90
+    assert {r["stop_id"] for r in service.isolines("pier", DAY).collect()} == {"quay1", "quay2", "cape"}
+    quickest = {r["stop_id"]: r["seconds"] for r in service.isolines("pier", DAY, QueryConfig(window=10 * HOUR)).collect()}
+    assert quickest == {"quay1": 20 * MINUTE, "quay2": 25 * MINUTE, "cape": 65 * MINUTE}
 
 
 def test_isolines_to_a_stop_over_a_window(service):
-    by = DAY + dt.timedelta(hours=5)
-    assert service.isolines("C", by, arrive=True).where("stop_id = 'A'").first()["seconds"] == 180
-    quick = service.isolines("C", by, QueryConfig(window=4 * 3600), arrive=True).where("stop_id = 'A'").first()
-    assert quick["seconds"] == 90
+    by = DAY + dt.timedelta(hours=9, minutes=40)
+    assert service.isolines("quay1", by, arrive=True).where("stop_id = 'pier'").first()["seconds"] == 20 * MINUTE
+    by = DAY + dt.timedelta(hours=9, minutes=10)
+    assert service.isolines("quay1", by, QueryConfig(window=2 * HOUR), arrive=True).where("stop_id = 'pier'").first()["seconds"] == 30 * MINUTE
 
 
 def test_lookups(service):
-    assert service.stop("A").count() == 1
+    assert service.stop("pier").count() == 1
     with pytest.raises(NotFound):
         service.route("R9")
     with pytest.raises(NotActive):
-        service.trip("T1", dt.date(2010, 1, 1))
-    assert service.trip("T1", DAY.date()).count() == 1
-    assert [r["stop_name"] for r in service.autocomplete("b").collect()] == ["B"]
-    assert service.nearest(0.0, 1.0).first()["stop_id"] == "B"
-    assert service.board("C", DAY).count() == 3
-    assert service.describe().first()["start_date"] == dt.date(2008, 1, 1)
+        service.trip("ferry7", dt.date(2026, 1, 1))
+    assert service.trip("ferry7", DAY.date()).count() == 1
+    assert [r["stop_name"] for r in service.autocomplete("isl").collect()] == ["Isle"]
+    assert service.nearest(10.1, 20.0).first()["stop_id"] == "isle"
+    assert service.board("isle", DAY + dt.timedelta(hours=6)).count() == 6
+    assert service.describe().first()["start_date"] == dt.date(2025, 1, 1)
 
 
 @pytest.mark.parametrize("bad", [{"window": -1}, {"modes": ("ROCKET",)}, {"max_walk": -5}])
@@ -93,7 +122,7 @@ def test_refresh(spark, service, tmp_path):
     query = follow_snapshots(current, root, str(tmp_path / "checkpoint"), "1 second")
     try:
         query.processAllAvailable()
-        assert current.version == 1 and current.schedule.stops.count() == 10
+        assert current.version == 1 and current.schedule.stops.count() == 5
         write_snapshot(service.schedule, root, 2)
         query.processAllAvailable()
         assert current.version == 2

@@ -1,4 +1,6 @@
 import datetime as dt
+import math
+import random
 import zipfile
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tramline.functions.times import day_offset, format_service_time, parse_service_time
 from tramline.operators import boards, services, stops
-from tramline.sources.gtfs import ScheduleError, from_rows, locate, read_schedule, unzip
+from tramline.sources.gtfs import ScheduleError, from_rows, locate, read_schedule
 from tramline.sources.sinks import as_json, timing_summary, write_csv
 from tramline.sources.snapshots import read_snapshot, write_snapshot
 
@@ -83,9 +85,13 @@ def test_snapshots_and_sinks(spark, tmp_path):
     write_csv(schedule.routes, str(tmp_path / "csv"))
     assert spark.read.csv(str(tmp_path / "csv"), header=True).count() == 1
     assert as_json(schedule.stops.where("stop_id = 'p'").select("stop_id", "parent_station")).first()[0] == '{"stop_id":"p"}'
-    runs = spark.createDataFrame([("a", 2, 10, 20), ("a", None, None, None)], "q string, n_connections int, departure int, arrival int")
-    assert tuple(timing_summary(runs, ["q"]).first()) == ("a", 2, 10, 20, 2, 2)
-    assert unzip
+    asked = spark.createDataFrame([("a", "s1", "s2", 60), ("b", "s2", "s1", 60)], "query_id string, a string, b string, t long")
+    ways = [("a", 61, 90, 29, 0), ("a", 70, 80, 10, 1)]
+    ways = spark.createDataFrame(ways, "query_id string, departure long, arrival long, seconds long, n_transfers int")
+    runs = {r["id"]: r for r in timing_summary(asked, ways, schedule.stops, dt.date(2024, 5, 1)).collect()}
+    assert (runs["a"]["connections"], runs["a"]["earliest_arrival_time"], runs["a"]["min_duration"], runs["a"]["max_transfers"]) == (2, "2024-05-01T00:01:20", 10, 1)
+    assert (runs["b"]["connections"], runs["b"]["earliest_departure_time"], runs["b"]["max_duration"]) == (0, "N/A", -1)
+    assert abs(runs["a"]["beeline_distance"] - 1112) <= 1  # a hundredth of a degree of latitude
 
 
 def test_times(spark):
@@ -118,26 +124,53 @@ def test_board_looks_at_the_day_before(spark, tmp_path):
 
 
 def test_distances(spark):
-    rows = [("stadelhofen", 47.366542, 8.548384), ("opernhaus", 47.365030, 8.547976), ("kunsthaus", 47.370160, 8.548749)]
+    # on the equator a degree is 6371000 * pi / 180 = 111194.9 m along both axes
+    rows = [("base", 0.0, 10.0), ("north", 0.003, 10.0), ("east", 0.0, 10.004), ("away", 0.0, 10.02)]
     schedule = from_rows(spark, stops=[(i, i, a, b, None, 0) for i, a, b in rows])
     found = {(r["from_stop"], r["to_stop"]): (r["distance"], r["duration"]) for r in stops.walk_transfers(schedule.stops).collect()}
-    assert {k[0][0] + k[1][0]: v[0] for k, v in found.items()} == {"so": 171, "os": 171, "sk": 403, "ks": 403}
-    assert found["stadelhofen", "opernhaus"][1] == 189
-    there = spark.createDataFrame([("far", 46.0, 7.0), ("pole", 90.0, 0.0)], "location_id string, lat double, lon double")
-    assert {r["location_id"]: r["stop_id"] for r in stops.nearest(there, schedule.stops).collect()} == {"far": "opernhaus", "pole": "kunsthaus"}
+    assert {k: v[0] for k, v in found.items() if k[0] == "base"} == {("base", "north"): 334, ("base", "east"): 445}
+    assert {k[0] for k in found} == {"base", "north", "east"} and found["north", "base"] == found["base", "north"]
+    assert found["base", "north"][1] == 340  # 333.58 m * 1.3 / 1.4 m/s = 309.8, and 30 s
+    assert stops.walk_transfers(schedule.stops, 400.0).count() == 2
+    there = spark.createDataFrame([("far", -20.0, 40.0), ("pole", 90.0, 0.0), ("west", 0.0, -179.9)], "location_id string, lat double, lon double")
+    assert {r["location_id"]: r["stop_id"] for r in stops.nearest(there, schedule.stops).collect()} == {"far": "away", "pole": "north", "west": "away"}
     with pytest.raises(ValueError):
         stops.nearby(there, schedule.stops, 0)
 
 
+def test_near_points_equal_all_pairs(spark):
+    """Cells against all pairs by the cosine rule, near the date line and far north too."""
+    rng = random.Random(3)
+    spots = [(rng.uniform(*lat), rng.choice([rng.uniform(179.98, 180), rng.uniform(-180, -179.98)])) for lat in [(-0.02, 0.02)] * 40 + [(69.98, 70.02)] * 40]
+    schedule = from_rows(spark, stops=[(f"{i:03d}", "", a, b, None, 0) for i, (a, b) in enumerate(spots)])
+
+    def metres(p, q):
+        (a, b), (c, d) = [[math.radians(x) for x in z] for z in (p, q)]
+        return 6_371_000 * math.acos(min(1.0, math.sin(a) * math.sin(c) + math.cos(a) * math.cos(c) * math.cos(b - d)))
+
+    wanted = {(f"{i:03d}", f"{j:03d}") for i, p in enumerate(spots) for j, q in enumerate(spots) if i != j and metres(p, q) <= 700}
+    found = {(r["from_stop"], r["to_stop"]) for r in stops.walk_transfers(schedule.stops, 700.0).collect()}
+    assert len(wanted) > 50 and found == wanted
+
+
+def test_deep_chains_of_parents(spark):
+    chain = [(f"c{i:02d}", "", 1.0, 1.0, f"c{i - 1:02d}" if i else None, int(i == 0)) for i in range(30)]
+    schedule = from_rows(spark, stops=chain)
+    assert stops.ancestors(schedule.stops).where("stop_id = 'c29'").agg(F.max("depth")).first()[0] == 29
+    assert stops.inherited_access(schedule.stops).where("stop_id = 'c29'").first()["wheelchair_boarding"] == 1
+
+
 def test_stop_relations_and_search(spark):
-    tree = [("top", None, 1), ("mid", "top", 0), ("leaf", "mid", 0), ("x", "y", 0), ("y", "x", 0)]
-    schedule = from_rows(spark, stops=[(i, n, 1.0, 1.0, p, w) for (i, p, w), n in zip(tree, ["Gstaad, Bahnhof", "m", "l", "x", "y"], strict=True)]
-                         + [("g", "Gstaad", 1.0, 1.0, None, 0), ("h", "Grund b. Gstaad", 1.0, 1.0, None, 0)])
-    asked = spark.createDataFrame([("mid",)], "asked_id string")
+    tree = [("hall", None, 2), ("deck", "hall", 0), ("gate", "deck", 0), ("x", "y", 0), ("y", "x", 0)]
+    named = ["Old Harbour", "d", "g", "x", "y"]
+    more = [("m1", "Market", 1.0, 1.0, None, 0), ("m2", "Market Lane", 1.0, 1.0, None, 0), ("m3", "New Market", 1.0, 1.0, None, 0)]
+    schedule = from_rows(spark, stops=[(i, n, 1.0, 1.0, p, w) for (i, p, w), n in zip(tree, named, strict=True)] + more)
+    asked = spark.createDataFrame([("deck",)], "asked_id string")
     scopes = {k: {r["stop_id"] for r in stops.scope(asked, schedule.stops, k).collect()} for k in ("strict", "children", "related")}
-    assert scopes == {"strict": {"mid"}, "children": {"mid", "leaf"}, "related": {"top", "mid", "leaf"}}
+    assert scopes == {"strict": {"deck"}, "children": {"deck", "gate"}, "related": {"hall", "deck", "gate"}}
     access = {r["stop_id"]: r["wheelchair_boarding"] for r in stops.inherited_access(schedule.stops).collect()}
-    assert access["leaf"] == 1 and access["x"] == 0
-    names = [r["stop_name"] for r in stops.search(schedule.stops, "gstaA").orderBy(*stops.by_relevance("gstaA")).collect()]
-    assert names == ["Gstaad", "Gstaad, Bahnhof", "Grund b. Gstaad"]
+    assert access["gate"] == 2 and access["x"] == 0
+    names = [r["stop_name"] for r in stops.search(schedule.stops, "marKET").orderBy(*stops.by_relevance("marKET")).collect()]
+    assert names == ["Market", "Market Lane", "New Market"]
+    assert [r["stop_name"] for r in stops.search(schedule.stops, "market").orderBy(*stops.alphabetical()).collect()] == names
     assert stops.search(schedule.stops, "").count() == 0

@@ -79,6 +79,7 @@ class TransitService:
     schedule: Schedule
     config: ServiceConfig = field(default_factory=ServiceConfig)
     network: Network = None
+    _span: list = field(default_factory=list, repr=False)
 
     def __post_init__(self) -> None:
         if self.network is None:
@@ -117,6 +118,7 @@ class TransitService:
     ) -> DataFrame:
         """Times at a stop from start, six hours by default."""
         self.stop(stop_id)
+        self._check_date(start.date())
         asked = self.schedule.stops.sparkSession.createDataFrame([(stop_id,)], "asked_id string")
         wanted = stops.scope(asked, self.schedule.stops, scope, self.config.walk_radius)
         return boards.station_board(self.schedule, wanted, start, end or start + dt.timedelta(hours=6), kind, limit)
@@ -153,14 +155,25 @@ class TransitService:
         if query.window:
             return routing.shortest_over_window(plan, asked, sources, bounds, query.window)
         found = routing.reachable(plan, asked, sources, bounds, arrive)
-        return found.orderBy(F.desc("departure") if arrive else F.asc("arrival"), "stop_id")
+        named = found.join(self.schedule.stops.select("stop_id", "stop_name"), "stop_id")
+        return named.orderBy(F.desc("departure") if arrive else F.asc("arrival"), "stop_name", "stop_id")
 
     def _plan(self, when: dt.datetime, query: QueryConfig) -> tuple[Planner, DataFrame]:
         date = when.date()
+        self._check_date(date)
         seconds = int((when - dt.datetime.combine(date, dt.time(), when.tzinfo)).total_seconds())
         asked = self.schedule.stops.sparkSession.createDataFrame([("q", seconds)], "query_id string, t long")
         return Planner(self.schedule, self.network, date, self.config.days, query.filters()), asked
 
+    def _check_date(self, date: dt.date) -> None:
+        """Dates from the schedule's first to its last are valid, both included."""
+        if not self._span:
+            row = services.validity(self.schedule).first()
+            self._span += [row["start_date"], row["end_date"]]
+        first, last = self._span
+        if first is None or not first <= date <= last:
+            raise InvalidRequest(f"{date} lies outside the schedule's validity, {first} to {last}")
+
     def _ends(self, plan: Planner, place: Place, query: QueryConfig) -> tuple[DataFrame, bool]:
         """(query_id, stop_id, walk) and whether the place is a stop of the network."""
         if isinstance(place, str):

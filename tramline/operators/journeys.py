@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.geo import haversine, rounded
+from ..sources.gtfs import Schedule
+from ..storage import materialize
 from .raptor import LEG, RIDE, WALK
 
 
+def _named(leg: Column, **changes: Column) -> Column:
+    """A leg with some of its fields changed."""
+    names = [part.split(":")[0] for part in LEG.removeprefix("struct<").split(",")]
+    return F.struct(*[changes[n].alias(n) if n in changes else leg[n].alias(n) for n in names]).cast(LEG)
+
+
 def without_idle_start(ways: DataFrame) -> DataFrame:
     """An initial walk leaves so late that it arrives just when the ride departs."""
-    first, second = F.element_at("legs", 1), F.try_element_at("legs", F.lit(2))
-    idle = second["dep"] - first["arr"]
-    moved = F.struct(
-        *[first[n].alias(n) for n in ("kind", "pattern_id", "trip_id", "service_date", "from_stop", "to_stop")],
-        (first["dep"] + idle).alias("dep"),
-        (first["arr"] + idle).alias("arr"),
-    ).cast(LEG)
-    fits = (first["kind"] == WALK) & (second["kind"] == RIDE) & (idle > 0)
-    shifted = F.concat(F.array(moved), F.slice("legs", 2, F.greatest(F.size("legs") - 1, F.lit(0))))
-    return ways.withColumn("legs", F.when((F.size("legs") > 1) & fits, shifted).otherwise(F.col("legs")))
+    first, second = F.get("legs", F.lit(0)), F.get("legs", F.lit(1))
+    idle = F.when((first["kind"] == WALK) & (second["kind"] == RIDE), second["dep"] - first["arr"])
+
+    def moved(leg: Column, nth: Column) -> Column:
+        later = (nth == 0) & (F.col("idle") > 0)
+        by = F.when(later, F.col("idle")).otherwise(0)
+        return _named(leg, dep=leg["dep"] + by, arr=leg["arr"] + by)
+
+    return ways.withColumn("idle", idle).withColumn("legs", F.transform("legs", moved)).drop("idle")
 
 
 def without_detour_walks(ways: DataFrame, times: DataFrame) -> DataFrame:
@@ -30,38 +38,26 @@ def without_detour_walks(ways: DataFrame, times: DataFrame) -> DataFrame:
     its trip leaves the walk's start no earlier than the walk.
     """
     keys = [c for c in ways.columns if c != "legs"]
-    calls = times.select("day_idx", "trip_id", "service_date", "pos", "stop_id", "arr", "dep")
-    def call(prefix: str, trip: Column, date: Column, stop: Column) -> Column:
-        return (F.col(f"{prefix}_trip") == trip) & (F.col(f"{prefix}_date") == date) & (F.col(f"{prefix}_stop") == stop)
-
-    def named(prefix: str) -> DataFrame:
-        return calls.groupBy("trip_id", "service_date", "stop_id").agg(
-            F.min("arr").alias(f"{prefix}_arr"), F.min("dep").alias(f"{prefix}_dep"), F.min("pos").alias(f"{prefix}_pos")
-        ).withColumnsRenamed({"trip_id": f"{prefix}_trip", "service_date": f"{prefix}_date", "stop_id": f"{prefix}_stop"})
-
-    last, ride = F.try_element_at("legs", F.lit(-1)), F.try_element_at("legs", F.lit(-2))
-    tail = ways.join(named("x"), call("x", ride["trip_id"], ride["service_date"], last["to_stop"]), "left")
-    joins = (F.size("legs") > 1) & (last["kind"] == WALK) & (ride["kind"] == RIDE) & (F.col("x_arr") <= last["arr"]) & (F.col("x_arr") > ride["dep"])
-    longer = F.struct(
-        *[ride[n].alias(n) for n in ("kind", "pattern_id", "trip_id", "service_date", "from_stop")],
-        last["to_stop"].alias("to_stop"),
-        ride["dep"].alias("dep"),
-        F.col("x_arr").alias("arr"),
-    ).cast(LEG)
-    head_part = F.slice("legs", 1, F.greatest(F.size("legs") - 2, F.lit(0)))
-    tail = tail.withColumn("legs", F.when(joins, F.concat(head_part, F.array(longer))).otherwise(F.col("legs"))).drop("x_trip", "x_date", "x_stop", "x_arr", "x_dep", "x_pos")
-    first, then = F.try_element_at("legs", F.lit(1)), F.try_element_at("legs", F.lit(2))
-    head = tail.join(named("y"), call("y", then["trip_id"], then["service_date"], first["from_stop"]), "left")
-    joins = (F.size("legs") > 1) & (first["kind"] == WALK) & (then["kind"] == RIDE) & (F.col("y_dep") >= first["dep"]) & (F.col("y_dep") < then["arr"])
-    earlier = F.struct(
-        *[then[n].alias(n) for n in ("kind", "pattern_id", "trip_id", "service_date")],
-        first["from_stop"].alias("from_stop"),
-        then["to_stop"].alias("to_stop"),
-        F.col("y_dep").alias("dep"),
-        then["arr"].alias("arr"),
-    ).cast(LEG)
-    rest = F.slice("legs", 3, F.greatest(F.size("legs") - 2, F.lit(0)))
-    return head.withColumn("legs", F.when(joins, F.concat(F.array(earlier), rest)).otherwise(F.col("legs"))).select(*keys, "legs")
+    ridden = ways.select(F.explode("legs").alias("leg")).select("leg.trip_id", "leg.service_date").distinct()
+    calls = times.select("trip_id", "service_date", "stop_id", "arr", "dep").join(ridden, ["trip_id", "service_date"], "left_semi")
+    calls = calls.groupBy("trip_id", "service_date", "stop_id").agg(F.min("arr").alias("arr"), F.min("dep").alias("dep"))
+    last, ride = F.element_at("legs", -1), F.get("legs", F.size("legs") - 2)
+    called = calls.select(*[F.col(c).alias(f"x_{c}") for c in calls.columns])
+
+    def met(ride: Column, stop: Column) -> Column:
+        return (F.col("x_trip_id") == ride["trip_id"]) & (F.col("x_service_date") == ride["service_date"]) & (F.col("x_stop_id") == stop)
+
+    tail = ways.join(called, met(ride, last["to_stop"]), "left")
+    joins = (last["kind"] == WALK) & (ride["kind"] == RIDE) & (F.col("x_arr") <= last["arr"]) & (F.col("x_arr") > ride["dep"])
+    longer = _named(ride, to_stop=last["to_stop"], arr=F.col("x_arr"))
+    kept = F.when(joins, F.concat(F.slice("legs", 1, F.size("legs") - 2), F.array(longer))).otherwise(F.col("legs"))
+    tail = materialize(tail.select(*keys, kept.alias("legs")), "ways")
+    first, then = F.get("legs", F.lit(0)), F.get("legs", F.lit(1))
+    head = tail.join(called, met(then, first["from_stop"]), "left")
+    joins = (first["kind"] == WALK) & (then["kind"] == RIDE) & (F.col("x_dep") >= first["dep"]) & (F.col("x_dep") < then["arr"])
+    earlier = _named(then, from_stop=first["from_stop"], dep=F.col("x_dep"))
+    kept = F.when(joins, F.concat(F.array(earlier), F.slice("legs", 3, F.size("legs") - 2))).otherwise(F.col("legs"))
+    return materialize(head.select(*keys, kept.alias("legs")), "ways")
 
 
 def described(ways: DataFrame) -> DataFrame:
@@ -99,6 +95,52 @@ def connecting_hops(times: DataFrame) -> DataFrame:
     return times.select("trip_id", "pos", "stop_id", F.lag("stop_id").over(along).alias("prev_stop"), F.lead("stop_id").over(along).alias("next_stop"))
 
 
-def mile_leg_kept(duration: Column, walk: Column, minimum: int) -> Column:
+def mile_leg_kept(duration: Column, minimum: int) -> Column:
     """Whether a walk to the first or from the last stop is shown as a leg of its own."""
-    return (duration > minimum) & (walk > 0)
+    return F.coalesce((duration > minimum) & (duration > 0), F.lit(False))
+
+
+def with_mile_legs(ways: DataFrame, minimum: int = 0) -> DataFrame:
+    """Ways of routing.connections() whose walks to the first and from the last stop are legs.
+
+    A leg from or to a place that is no stop has null there. Walks of up to
+    minimum seconds stay out of the legs; departure and arrival count them all.
+    """
+
+    def leg(from_stop: Column, to_stop: Column, dep: Column, arr: Column) -> Column:
+        null = F.lit(None).cast("string")
+        return F.struct(
+            F.lit(WALK).alias("kind"), null.alias("pattern_id"), null.alias("trip_id"), F.lit(None).cast("date").alias("service_date"),
+            from_stop.alias("from_stop"), to_stop.alias("to_stop"), dep.alias("dep"), arr.alias("arr"),
+        ).cast(LEG)
+
+    none, empty = F.lit(None).cast("string"), F.array().cast(f"array<{LEG}>")
+    first = leg(none, F.col("from_stop"), F.col("departure"), F.col("departure") + F.col("walk_in"))
+    last = leg(F.col("to_stop"), none, F.col("arrival") - F.col("walk_out"), F.col("arrival"))
+    before = F.when(mile_leg_kept(F.col("walk_in"), minimum), F.array(first)).otherwise(empty)
+    after = F.when(mile_leg_kept(F.col("walk_out"), minimum), F.array(last)).otherwise(empty)
+    return ways.withColumn("legs", F.concat(before, "legs", after))
+
+
+def leg_details(ways: DataFrame, schedule: Schedule, keys: list[str]) -> DataFrame:
+    """leg_rows() with names and places of both stops, the trip's headsign, its route, and metres.
+
+    The route of a walk between stops is named after them. distance is that
+    of the leg's ends, null where one is no stop.
+    """
+    legs = leg_rows(ways, keys)
+    trips = schedule.trips.select("trip_id", "trip_headsign", "route_id").join(
+        schedule.routes.select("route_id", "agency_id", "route_short_name", "route_long_name", "route_type"), "route_id", "left"
+    )
+    named = legs.join(trips, "trip_id", "left")
+    for side in ("from", "to"):
+        place = schedule.stops.select(*[F.col(f"stop_{c}").alias(f"{side}_{'stop' if c == 'id' else c}") for c in ("id", "name", "lat", "lon")])
+        named = named.join(place, f"{side}_stop", "left")
+    walk = F.format_string("transfer_%s_%s", "from_stop", "to_stop")
+    distance = rounded(haversine(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")))
+    return named.withColumns({"route_id": F.when(F.col("kind") == WALK, walk).otherwise(F.col("route_id")), "distance": distance})
+
+
+def plain_legs(details: DataFrame) -> DataFrame:
+    """leg_details() without what only a detailed answer shows."""
+    return details.drop("trip_headsign", "agency_id", "route_long_name", "route_type")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.codes import MINIMUM_TIME
 from ..functions.times import DAY, day_offset
 from ..sources.gtfs import Schedule, ScheduleError, row_positions
-from ..storage import materialize
+from ..storage import counted, materialize
 from .services import active_trips
 
 SAME_STOP_SECONDS = 120
@@ -30,6 +30,54 @@ class Network:
     net_stops: DataFrame
 
 
+@dataclass(frozen=True)
+class Timetable:
+    """What a search in one direction reads, written once for all its rounds and queries.
+
+    times is as dated_times() gives. places(stop_id, pattern_id, pos,
+    first_hour, last_hour) are where one can board. departures(pattern_id,
+    pos, hour, leaves, later) has a row for each hour from a place's first to
+    its last departure: leaves lists (at, trip) by time, where trip is the
+    first one, by day and order, that leaves then or afterwards, and later is
+    that of the hours after. stops(stop_id, same_stop, hops) lists the
+    footpaths from every stop as (to_stop, duration, same_stop).
+    """
+
+    times: DataFrame
+    places: DataFrame
+    departures: DataFrame
+    stops: DataFrame
+
+
+HOUR = 3600
+
+
+def timetable(times: DataFrame, network: Network) -> Timetable:
+    """The timetable of written times."""
+    trip = F.struct("day_idx", "trip_ord", "trip_id", "service_date", "dep")
+    boarded = times.where("pos < n_stops - 1").select("stop_id", "pattern_id", "pos", F.col("dep").alias("at"), trip.alias("trip"))
+    onward = Window.partitionBy("pattern_id", "pos").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    each = boarded.withColumn("trip", F.min("trip").over(onward)).dropDuplicates(["pattern_id", "pos", "at"])
+    hours = each.groupBy("pattern_id", "pos", "stop_id", F.floor(F.col("at") / HOUR).alias("hour")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "trip"))).alias("leaves")
+    )
+    after = Window.partitionBy("pattern_id", "pos").orderBy("hour")
+    linked = hours.withColumns({"next_hour": F.lead("hour").over(after), "later": F.lead("leaves").over(after)[0]["trip"]})
+    # an hour without departures is a row that has later ones only
+    filled = linked.withColumn("of", F.explode(F.sequence("hour", F.coalesce(F.col("next_hour") - 1, "hour"))))
+    departures = materialize(
+        filled.select(
+            "stop_id", "pattern_id", "pos", F.col("of").alias("hour"), F.when(F.col("of") == F.col("hour"), F.col("leaves")).alias("leaves"), "later"
+        ),
+        "departures",
+    )
+    places = departures.groupBy("stop_id", "pattern_id", "pos").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+    to = network.net_stops.select(F.col("stop_id").alias("to_stop"), "same_stop")
+    hops = network.footpaths.join(to, "to_stop").groupBy(F.col("from_stop").alias("stop_id"))
+    hops = hops.agg(F.collect_list(F.struct("to_stop", "duration", "same_stop")).alias("hops"))
+    return Timetable(times, materialize(places, "places"), departures, materialize(network.net_stops.join(hops, "stop_id", "left"), "walks"))
+
+
 def trip_patterns(schedule: Schedule) -> DataFrame:
     """(trip_id, route_id, stops, n_stops, dep0, pattern_id): trips by their route's stop sequences.
 
@@ -51,7 +99,8 @@ def build_network(schedule: Schedule, *generated: DataFrame, same_stop: int = SA
     """Patterns, ordered trips, times and footpaths of a schedule.
 
     generated are extra transfers (from_stop, to_stop, duration), the first
-    one before later ones. Raises ScheduleError if a trip's times run back.
+    one before later ones. Raises ScheduleError if a trip's times run back, if
+    there are no times, or if a transfer or a time at one stop is negative.
     """
     patterns = materialize(trip_patterns(schedule), "patterns")
     order = Window.partitionBy("pattern_id").orderBy("dep0", "trip_id")
@@ -61,13 +110,18 @@ def build_network(schedule: Schedule, *generated: DataFrame, same_stop: int = SA
         "trip_id", "pos", "stop_id", F.col("arrival").cast("long").alias("arr"), F.col("departure").cast("long").alias("dep")
     )
     times = materialize(times.join(trips.drop("service_id"), "trip_id"), "trip-times")
+    served, n_served = counted(times.select("stop_id").distinct(), "served")
+    if not n_served:
+        raise ScheduleError("no trip has stop times")
     back = backward_times(times).first()
     if back:
         raise ScheduleError(f"trip {back['trip_id']} runs back in time at position {back['pos']}")
     one = patterns.groupBy("pattern_id").agg(F.first("route_id").alias("route_id"), F.first("stops").alias("stops"))
     stops = one.select("pattern_id", "route_id", F.size("stops").alias("n_stops"), F.posexplode("stops").alias("pos", "stop_id"))
-    served = materialize(times.select("stop_id").distinct(), "served")
     paths = materialize(transfer_table(schedule, served, *generated), "footpaths")
+    bad = paths.where("duration < 0").first()
+    if bad or same_stop < 0:
+        raise ScheduleError(f"a transfer takes negative time: {bad or same_stop}")
     own = paths.where("from_stop = to_stop").select(F.col("from_stop").alias("stop_id"), F.col("duration").alias("own"))
     net = served.join(own, "stop_id", "left").select("stop_id", F.coalesce("own", F.lit(same_stop)).cast("long").alias("same_stop"))
     return Network(stops, trips, times, paths.where("from_stop <> to_stop"), materialize(net, "net-stops"))

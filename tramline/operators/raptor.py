@@ -1,8 +1,11 @@
 """Round-based routing of many queries at once.
 
-Round k holds, for every query and stop, the best way of k rides. A round is
-an as-of join of the last round's labels with departures, a join along the
-boarded trips, a grouped minimum, and a join with footpaths.
+Round k holds, for every query and stop, the best way of k rides. A round
+looks up the first departures at the stops that the last round bettered,
+follows the boarded trips, adds footpaths, and keeps the least per stop: equal
+joins with tables that are written once, and a grouped minimum. Labels know
+the legs of their own round; whole ways are put together at the end, for the
+labels that are wanted.
 """
 
 from __future__ import annotations
@@ -12,12 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import materialize
-from .network import Network
+from ..storage import counted
+from .network import HOUR, Network, Timetable
 
 LEG = "struct<kind:string,pattern_id:string,trip_id:string,service_date:date,from_stop:string,to_stop:string,dep:bigint,arr:bigint>"
 START, RIDE, WALK = "START", "RIDE", "WALK"
-LABEL = ["query_id", "round", "stop_id", "kind", "t", "cmp_t", "legs"]
+LABEL = ["query_id", "round", "stop_id", "kind", "t", "cmp_t", "start", "n_legs", "legs"]
 
 
 @dataclass(frozen=True)
@@ -30,7 +33,20 @@ class RouteConfig:
     max_travel: int | None = None
     walk_at_source: bool = True
     walk_at_target: bool = True
-    max_rounds: int = 25
+
+
+@dataclass(frozen=True)
+class Search:
+    """Labels that bettered a stop: LABEL columns.
+
+    t is the arrival, cmp_t the time that labels are compared by, start the
+    departure of the way's first leg, n_legs their number, and legs those of
+    the label's own round. Of a round there is one label per query and stop;
+    the way goes on at the first leg's from_stop in the round before.
+    """
+
+    labels: DataFrame
+    rounds: int
 
 
 def mirrored(times: DataFrame, network: Network) -> tuple[DataFrame, Network]:
@@ -48,184 +64,181 @@ def mirrored(times: DataFrame, network: Network) -> tuple[DataFrame, Network]:
     return turned, Network(network.pattern_stops, network.pattern_trips, network.trip_times, paths, network.net_stops)
 
 
-def route(
-    sources: DataFrame, times: DataFrame, network: Network, config: RouteConfig, targets: DataFrame | None = None
-) -> DataFrame:
+def route(sources: DataFrame, table: Timetable, config: RouteConfig, targets: DataFrame | None = None) -> Search:
     """All labels that improved a stop, over rounds 0, 1, ..
 
-    sources has query_id, stop_id, t (seconds on the axis of times); several
-    rows of a query are alternative starts. targets has query_id, stop_id and
-    walk (seconds from the stop to the end), and bounds the search: what
-    arrives later than the best known end is dropped. Stops that aren't in
-    the network are ignored. Returns LABEL columns: t is the arrival, cmp_t
-    the time that labels are compared by, legs the way from the start.
+    sources has query_id, stop_id, t (seconds on the axis of the times);
+    several rows of a query are alternative starts. targets has query_id,
+    stop_id and walk (seconds from the stop to the end), and bounds the
+    search: what arrives later than the best known end is dropped. Stops that
+    aren't in the network are ignored.
 
-    Ties: less time, then the later first departure, then ids.
+    Ties: less time, then a ride, then the later start, fewer legs, and ids.
     """
-    times = materialize(times, "dated-times")
-    places = times.select("stop_id", "pattern_id", "pos", "n_stops").distinct().where("pos < n_stops - 1")
-    places = materialize(places, "boarding-places")
-    start = sources.join(network.net_stops, "stop_id", "left_semi").groupBy("query_id", "stop_id").agg(F.min("t").alias("t"))
+    known = table.stops.select("stop_id")
+    start = sources.join(known, "stop_id", "left_semi").groupBy("query_id", "stop_id").agg(F.min("t").cast("long").alias("t"))
+    limit = None
     if config.max_travel is not None:
         limit = start.groupBy("query_id").agg((F.min("t") + config.max_travel).alias("limit"))
-    else:
-        limit = None
+    ends = None if targets is None else targets.groupBy("query_id", "stop_id").agg(F.min("walk").alias("walk"))
     first = start.select(
         "query_id",
         F.lit(0).alias("round"),
         "stop_id",
         F.lit(START).alias("kind"),
-        F.col("t").cast("long").alias("t"),
-        F.col("t").cast("long").alias("cmp_t"),
+        "t",
+        F.col("t").alias("cmp_t"),
+        F.col("t").alias("start"),
+        F.lit(0).alias("n_legs"),
         F.array().cast(f"array<{LEG}>").alias("legs"),
     )
-    labels = materialize(first, "labels")
-    ends = None if targets is None else targets.select("query_id", "stop_id", "walk").groupBy("query_id", "stop_id").agg(F.min("walk").alias("walk"))
     if config.walk_at_source:
-        walked = _improving(_walks(labels, network, config, ends), labels)
-        labels = materialize(labels.unionByName(walked), "labels")
-    kept, frontier, round_ = labels, labels, 0
-    rounds = config.max_rounds if config.max_transfers is None else config.max_transfers + 1
-    while round_ < rounds and not frontier.isEmpty():
-        round_ += 1
-        best = kept.select("query_id", "stop_id", "cmp_t")
-        rides = _improving(_bounded(_rides(frontier, times, places, network, config, round_), limit, best, ends), best)
-        rides = materialize(rides, "rides")
-        best = best.unionByName(rides.select("query_id", "stop_id", "cmp_t"))
-        walks = _improving(_bounded(_walks(rides, network, config, ends), limit, best, ends), best)
-        # a walk that betters a ride of this round takes its place
-        frontier = materialize(_first_per_stop(rides.unionByName(walks)), "frontier")
+        first = _first_per_stop(_walked(first, table, config, ends))
+    frontier, n = counted(first, "frontier")
+    kept, rounds = frontier, 0
+    while n and (config.max_transfers is None or rounds <= config.max_transfers):
+        rounds += 1
+        best = kept.groupBy("query_id", "stop_id").agg(F.min("cmp_t").alias("known"))
+        bound = None
+        if ends is not None:
+            bound = best.join(ends, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("known") + F.col("walk")).alias("bound"))
+        rides = _within(_rides(frontier, table, config, rounds), best, limit, bound)
+        frontier, n = counted(_first_per_stop(_within(_walked(rides, table, config, ends), best, limit, bound)), "frontier")
         kept = kept.unionByName(frontier)
-    return kept
+    return Search(kept, rounds)
 
 
-def _rides(frontier: DataFrame, times: DataFrame, places: DataFrame, network: Network, config: RouteConfig, round_: int) -> DataFrame:
-    waiting = frontier.join(network.net_stops, "stop_id")
-    ready = F.when(F.col("kind") == RIDE, F.col("t") + F.greatest("same_stop", F.lit(config.min_transfer).cast("long"))).otherwise(F.col("t"))
-    asked = waiting.join(places, "stop_id").select(
-        "pattern_id", "pos", ready.alias("at"), F.struct("query_id", "stop_id", "legs", "n_stops").alias("ask")
-    )
-    boards = first_trips(asked, times)
-    along = times.select(
-        "day_idx", "trip_id", F.col("pos").alias("to_pos"), F.col("stop_id").alias("to_stop"), "arr"
-    )
+def _rides(frontier: DataFrame, table: Timetable, config: RouteConfig, round_: int) -> DataFrame:
+    waiting = frontier.join(table.stops.select("stop_id", "same_stop"), "stop_id")
+    pause = F.greatest("same_stop", F.lit(config.min_transfer).cast("long"))
+    ready = F.col("t") + F.when(F.col("kind") == RIDE, pause).otherwise(0)
+    asked = waiting.select("query_id", "stop_id", "round", "start", "n_legs", ready.alias("ready")).join(table.places, "stop_id")
+    boards = first_trips(asked, table.departures)
+    along = table.times.select("day_idx", "trip_id", F.col("pos").alias("to_pos"), F.col("stop_id").alias("to_stop"), "arr")
     met = boards.join(along, ["day_idx", "trip_id"]).where(F.col("to_pos") > F.col("pos"))
     leg = F.struct(
-        F.lit(RIDE).alias("kind"),
-        F.col("pattern_id"),
-        F.col("trip_id"),
-        F.col("service_date"),
-        F.col("ask.stop_id").alias("from_stop"),
-        F.col("to_stop"),
-        F.col("dep"),
-        F.col("arr"),
+        F.lit(RIDE).alias("kind"), "pattern_id", "trip_id", "service_date", F.col("stop_id").alias("from_stop"), "to_stop", "dep", "arr"
     ).cast(LEG)
-    legs = F.array_append("ask.legs", leg)
+    # a way begins with its first ride unless it has begun before
     rides = met.select(
-        F.col("ask.query_id").alias("query_id"),
+        "query_id",
         F.lit(round_).alias("round"),
         F.col("to_stop").alias("stop_id"),
         F.lit(RIDE).alias("kind"),
         F.col("arr").alias("t"),
         F.col("arr").alias("cmp_t"),
-        legs.alias("legs"),
+        F.when(F.col("n_legs") == 0, F.col("dep")).otherwise(F.col("start")).alias("start"),
+        (F.col("n_legs") + 1).alias("n_legs"),
+        F.array(leg).alias("legs"),
     )
     return _first_per_stop(rides)
 
 
-def first_trips(asked: DataFrame, times: DataFrame) -> DataFrame:
-    """As-of join: for each ask the first trip, by day and order, that leaves no earlier.
+def first_trips(asked: DataFrame, departures: DataFrame) -> DataFrame:
+    """As-of join: for each row of asked the first trip, by day and order, that leaves no earlier than ready.
 
-    asked has pattern_id, pos, at and ask. Departures and asks of a place are
-    ordered by time together, latest first, with departures ahead of asks of
-    the same second; the least (day, order) met so far is the answer. So the
-    work per place is a sort, not the product of asks and departures.
+    asked has pattern_id, pos, ready, and the place's first_hour and
+    last_hour; it meets the one row of its hour (a place's first one if that
+    is later). Adds day_idx, trip_id, service_date and dep; rows after the last
+    departure are dropped.
     """
-    trip = F.struct("day_idx", "trip_ord", "trip_id", "service_date", "dep")
-    here = times.select("pattern_id", "pos", F.col("dep").alias("at"), F.lit(1).alias("leaves"), trip.alias("trip"))
-    none = asked.select("pattern_id", "pos", "at", F.lit(0).alias("leaves"), "ask")
-    both = here.unionByName(none, allowMissingColumns=True)
-    so_far = Window.partitionBy("pattern_id", "pos").orderBy(F.desc("at"), F.desc("leaves")).rowsBetween(Window.unboundedPreceding, 0)
-    met = both.withColumn("first", F.min("trip").over(so_far)).where((F.col("leaves") == 0) & F.col("first").isNotNull())
-    return met.select("pattern_id", "pos", "ask", "first.day_idx", "first.trip_id", "first.service_date", "first.dep")
-
-
-def _walks(labels: DataFrame, network: Network, config: RouteConfig, ends: DataFrame | None) -> DataFrame:
-    paths = network.footpaths
+    hour = F.greatest(F.floor(F.col("ready") / HOUR), "first_hour")
+    placed = asked.withColumn("hour", hour).where(F.col("hour") <= F.col("last_hour")).drop("first_hour", "last_hour")
+    met = placed.join(departures.drop("stop_id"), ["pattern_id", "pos", "hour"])
+    first = F.filter("leaves", lambda x: x["at"] >= F.col("ready"))
+    found = met.withColumn("trip", F.coalesce(F.get(first, F.lit(0))["trip"], "later")).where("trip is not null")
+    return found.drop("leaves", "later", "hour").select("*", "trip.day_idx", "trip.trip_id", "trip.service_date", "trip.dep").drop("trip")
+
+
+def _walked(labels: DataFrame, table: Timetable, config: RouteConfig, ends: DataFrame | None) -> DataFrame:
+    """The labels, none of them a walk, and the walks from them."""
+    placed = labels.join(table.stops.select("stop_id", "hops"), "stop_id")
+    hops = F.coalesce("hops", F.array().cast("array<struct<to_stop:string,duration:bigint,same_stop:bigint>>"))
     if config.max_walk is not None:
-        paths = paths.where(F.col("duration") <= config.max_walk)
-    met = labels.where(F.col("kind") != WALK).join(paths, F.col("stop_id") == F.col("from_stop"))
-    if ends is not None and not config.walk_at_target:
-        met = met.join(ends.select("query_id", F.col("stop_id").alias("to_stop")), ["query_id", "to_stop"], "left_anti")
-    met = met.join(network.net_stops.select(F.col("stop_id").alias("to_stop"), "same_stop"), "to_stop")
-    arrives = F.col("t") + F.col("duration")
+        hops = F.filter(hops, lambda h: h["duration"] <= config.max_walk)
+    stay = F.struct(F.lit(None).cast("string").alias("to_stop"), F.lit(0).cast("long").alias("duration"), F.lit(0).cast("long").alias("same_stop"))
+    each = placed.withColumn("hop", F.explode(F.concat(F.array(stay), hops)))
+    walks = F.col("hop.to_stop").isNotNull()
+    arrives = F.col("t") + F.col("hop.duration")
     leg = F.struct(
         F.lit(WALK).alias("kind"),
         F.lit(None).alias("pattern_id"),
         F.lit(None).alias("trip_id"),
         F.lit(None).alias("service_date"),
-        F.col("from_stop"),
-        F.col("to_stop"),
+        F.col("stop_id").alias("from_stop"),
+        F.col("hop.to_stop").alias("to_stop"),
         F.col("t").alias("dep"),
         arrives.alias("arr"),
     ).cast(LEG)
-    walks = met.select(
+    out = each.select(
         "query_id",
         "round",
-        F.col("to_stop").alias("stop_id"),
-        F.lit(WALK).alias("kind"),
+        F.coalesce("hop.to_stop", "stop_id").alias("stop_id"),
+        F.when(walks, F.lit(WALK)).otherwise(F.col("kind")).alias("kind"),
         arrives.alias("t"),
-        (arrives - F.col("same_stop")).alias("cmp_t"),
-        F.array_append("legs", leg).alias("legs"),
+        F.when(walks, arrives - F.col("hop.same_stop")).otherwise(F.col("cmp_t")).alias("cmp_t"),
+        "start",
+        (F.col("n_legs") + walks.cast("int")).alias("n_legs"),
+        F.when(walks, F.array_append("legs", leg)).otherwise(F.col("legs")).alias("legs"),
     )
-    return _first_per_stop(walks)
+    if ends is None or config.walk_at_target:
+        return out
+    at_end = ends.select("query_id", "stop_id", F.lit(True).alias("ends"))
+    marked = out.join(at_end, ["query_id", "stop_id"], "left")
+    return marked.where((F.col("kind") != WALK) | F.col("ends").isNull()).select(*LABEL)
 
 
 def _first_per_stop(labels: DataFrame) -> DataFrame:
-    start = F.coalesce(F.element_at("legs", 1)["dep"], F.col("t"))
-    order = F.struct("cmp_t", (-start).alias("late"), F.size("legs").alias("n"), "kind", "legs", "round", "t")
+    order = F.struct("cmp_t", "kind", (-F.col("start")).alias("late"), "n_legs", "legs", "round", "t")
     best = labels.groupBy("query_id", "stop_id").agg(F.min(order).alias("b"))
-    return best.select("query_id", "b.round", "stop_id", "b.kind", "b.t", "b.cmp_t", "b.legs")
-
-
-def _improving(labels: DataFrame, best: DataFrame) -> DataFrame:
-    known = best.groupBy("query_id", "stop_id").agg(F.min("cmp_t").alias("known"))
-    met = labels.join(known, ["query_id", "stop_id"], "left")
-    return met.where(F.col("known").isNull() | (F.col("cmp_t") < F.col("known"))).select(*LABEL)
+    return best.select(
+        "query_id", "b.round", "stop_id", "b.kind", "b.t", "b.cmp_t", (-F.col("b.late")).alias("start"), "b.n_legs", "b.legs"
+    )
 
 
-def _bounded(labels: DataFrame, limit: DataFrame | None, best: DataFrame, ends: DataFrame | None) -> DataFrame:
+def _within(labels: DataFrame, best: DataFrame, limit: DataFrame | None, bound: DataFrame | None) -> DataFrame:
+    """Labels that better their stop, and keep to the time limit and the best known end."""
+    met = labels.join(best, ["query_id", "stop_id"], "left")
+    met = met.where(F.col("known").isNull() | (F.col("cmp_t") < F.col("known")))
     if limit is not None:
-        labels = labels.join(limit, "query_id").where(F.col("t") <= F.col("limit")).select(*LABEL)
-    if ends is not None:
-        done = best.join(ends, ["query_id", "stop_id"]).groupBy("query_id").agg(F.min(F.col("cmp_t") + F.col("walk")).alias("bound"))
-        met = labels.join(done, "query_id", "left")
-        labels = met.where(F.col("bound").isNull() | (F.col("cmp_t") <= F.col("bound"))).select(*LABEL)
-    return labels
+        met = met.join(limit, "query_id").where(F.col("t") <= F.col("limit"))
+    if bound is not None:
+        met = met.join(bound, "query_id", "left").where(F.col("bound").isNull() | (F.col("cmp_t") <= F.col("bound")))
+    return met.select(*LABEL)
 
 
-def pareto(labels: DataFrame, targets: DataFrame) -> DataFrame:
-    """Ways to the targets that arrive earlier than every way of fewer rides.
+def pareto(search: Search, targets: DataFrame) -> DataFrame:
+    """Labels at the targets that arrive earlier than every one of fewer rides.
 
     Returns LABEL columns and end_t, the arrival with the target's walk.
     """
-    ends = labels.where(F.col("kind") != START).join(targets, ["query_id", "stop_id"]).withColumn("end_t", F.col("t") + F.col("walk"))
-    order = F.struct("end_t", F.size("legs").alias("n"), "stop_id", "kind", "t", "cmp_t", "legs")
-    per_round = ends.groupBy("query_id", "round").agg(F.min(order).alias("b"))
-    flat = per_round.select("query_id", "round", "b.stop_id", "b.kind", "b.t", "b.cmp_t", "b.legs", "b.end_t")
+    ends = search.labels.where(F.col("kind") != START).join(targets.select("query_id", "stop_id", "walk"), ["query_id", "stop_id"])
+    timed = ends.withColumn("end_t", F.col("t") + F.col("walk"))
+    order = F.struct("end_t", (-F.col("start")).alias("late"), "n_legs", "stop_id", "kind", "t", "cmp_t", "start", "legs")
+    per_round = timed.groupBy("query_id", "round").agg(F.min(order).alias("b"))
+    flat = per_round.select("query_id", "round", "b.stop_id", "b.kind", "b.t", "b.cmp_t", "b.start", "b.n_legs", "b.legs", "b.end_t")
     before = F.min("end_t").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
     return flat.withColumn("before", before).where(F.col("before").isNull() | (F.col("end_t") < F.col("before"))).drop("before")
 
 
-def isolines(labels: DataFrame) -> DataFrame:
+def isolines(search: Search) -> DataFrame:
     """The best label of every reached stop per query; starts are left out."""
-    reached = labels.where(F.col("kind") != START)
-    order = F.struct("cmp_t", "round", "t", "kind", "legs")
-    best = reached.groupBy("query_id", "stop_id").agg(F.min(order).alias("b"))
-    starts = labels.where(F.col("kind") == START).select("query_id", "stop_id")
-    return best.join(starts, ["query_id", "stop_id"], "left_anti").select(
-        "query_id", "b.round", "stop_id", "b.kind", "b.t", "b.cmp_t", "b.legs"
+    order = F.struct("cmp_t", "round", *[c for c in LABEL if c not in ("query_id", "stop_id", "cmp_t", "round")])
+    best = search.labels.groupBy("query_id", "stop_id").agg(F.min(order).alias("b"), F.max(F.col("kind") == START).alias("is_start"))
+    return best.where(~F.col("is_start")).select("query_id", "stop_id", *[f"b.{c}" for c in LABEL if c not in ("query_id", "stop_id")])
+
+
+def whole_ways(best: DataFrame, search: Search) -> DataFrame:
+    """The chosen labels with all legs of their ways: round by round the label at the first leg's start is put before."""
+    earlier = search.labels.select(
+        "query_id", F.col("round").alias("before_round"), F.col("stop_id").alias("first_stop"), F.col("legs").alias("before")
     )
+    ways = best.withColumns({"before_round": F.col("round") - 1, "first_stop": F.get("legs", F.lit(0))["from_stop"]})
+    for _ in range(search.rounds):
+        legs = F.concat(F.coalesce("before", F.array().cast(f"array<{LEG}>")), "legs")
+        ways = ways.join(earlier, ["query_id", "before_round", "first_stop"], "left").withColumn("legs", legs).drop("before")
+        ways = ways.withColumns({"before_round": F.col("before_round") - 1, "first_stop": F.get("legs", F.lit(0))["from_stop"]})
+    return ways.drop("before_round", "first_stop")
 
 
 def unmirrored(labels: DataFrame) -> DataFrame:

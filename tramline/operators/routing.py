@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.gtfs import Schedule
 from ..storage import materialize
 from . import raptor
 from .journeys import described, without_detour_walks, without_idle_start
-from .network import Network, dated_times
+from .network import Network, Timetable, dated_times, timetable
 from .raptor import RouteConfig
 from .stops import access_stops, ancestors
 
@@ -26,7 +26,9 @@ class Planner:
     """A network on the service days around a reference date.
 
     days counts scanned service days: 1 is the date itself, more start with
-    the day before. Times are seconds from the date's 00:00 UTC.
+    the day before. Times are seconds from the date's 00:00 UTC. What a search
+    reads is written at the first search in its direction and used by all
+    later ones.
     """
 
     schedule: Schedule
@@ -35,13 +37,26 @@ class Planner:
     days: int = 1
     filters: dict | None = None
     use_zones: bool = True
+    _made: dict = field(default_factory=dict, compare=False, repr=False)
 
     def times(self, backward: bool = False) -> DataFrame:
         offsets = range(1) if self.days == 1 else range(-(self.days - 2), 1) if backward else range(-1, self.days - 1)
-        spark = self.schedule.stops.sparkSession
-        dates = spark.createDataFrame([(i, self.date + dt.timedelta(days=i)) for i in offsets], "day_idx int, date date")
-        offset = None if self.use_zones else F.lit(0)
-        return materialize(dated_times(self.schedule, self.network, dates, offset, **(self.filters or {})), "planner-times")
+        if offsets not in self._made:
+            spark = self.schedule.stops.sparkSession
+            dates = spark.createDataFrame([(i, self.date + dt.timedelta(days=i)) for i in offsets], "day_idx int, date date")
+            offset = None if self.use_zones else F.lit(0)
+            dated = dated_times(self.schedule, self.network, dates, offset, **(self.filters or {}))
+            self._made[offsets] = materialize(dated, "planner-times")
+        return self._made[offsets]
+
+    def timetable(self, backward: bool = False) -> Timetable:
+        """The timetable, mirrored for backward searches."""
+        if backward not in self._made:
+            times, network = self.times(backward), self.network
+            if backward:
+                times, network = raptor.mirrored(times, network)
+            self._made[backward] = timetable(times, network)
+        return self._made[backward]
 
     def station_ends(self, asked: DataFrame) -> DataFrame:
         """(query_id, stop_id, walk 0): a stop and its direct children."""
@@ -67,23 +82,36 @@ def connections(
     """
     if _both(sources, targets):
         raise InvalidRequest("a stop is source and target of one query")
-    times = planner.times(backward)
-    network = planner.network
     near, far = (targets, sources) if backward else (sources, targets)
-    axis = F.col("t") * (-1 if backward else 1)
-    if backward:
-        moving, network = raptor.mirrored(times, network)
-    else:
-        moving = times
-    starts = near.join(queries.select("query_id", "t"), "query_id").select("query_id", "stop_id", (axis + F.col("walk")).alias("t"))
-    labels = raptor.route(starts, moving, network, config, far)
-    best = raptor.pareto(labels, far)
+    found = raptor.route(_starts(queries, near, backward), planner.timetable(backward), config, far)
+    best = raptor.whole_ways(raptor.pareto(found, far), found)
     if backward:
         best = raptor.unmirrored(best)
-    ways = without_idle_start(without_detour_walks(best.select("query_id", "round", "legs"), times))
+    plain = materialize(best.select("query_id", "round", "legs"), "ways")
+    ways = without_idle_start(without_detour_walks(plain, planner.times(backward)))
     return _with_walks(described(ways), sources, targets)
 
 
+def _starts(queries: DataFrame, near: DataFrame, backward: bool) -> DataFrame:
+    """(query_id, stop_id, t) on the axis of the search."""
+    axis = F.col("t") * (-1 if backward else 1)
+    asked = queries.select("query_id", axis.alias("t"))
+    return near.join(asked, "query_id").select("query_id", "stop_id", (F.col("t") + F.col("walk")).alias("t"))
+
+
+SPREAD = 86_400
+
+
+def check_starts(starts: DataFrame, network: Network) -> None:
+    """Starts (query_id, stop_id, t) of a query lie within a day, and one of them at least is known."""
+    known = starts.join(network.net_stops.select("stop_id", F.lit(1).alias("known")), "stop_id", "left")
+    each = known.groupBy("query_id").agg((F.max("t") - F.min("t")).alias("spread"), F.count("known").alias("known"))
+    bad = each.where((F.col("spread") > SPREAD) | (F.col("known") == 0)).first()
+    if bad:
+        why = "none of its stops is known" if not bad["known"] else "its times are more than a day apart"
+        raise InvalidRequest(f"query {bad['query_id']}: {why}")
+
+
 def _both(sources: DataFrame, targets: DataFrame) -> bool:
     return not sources.join(targets.select("query_id", "stop_id"), ["query_id", "stop_id"], "left_semi").isEmpty()
 
@@ -113,45 +141,53 @@ def within_window(
 ) -> DataFrame:
     """connections() for every departure in [t, t + window), or arrival in (t - window, t].
 
-    Each search starts a second after the first departure of the one before
-    (or ends a second before its last arrival) until the window is left;
-    queries that are done drop out. A window of 0 is one search. Travel time
-    is bounded on the whole way, after the search. Equal ways count once.
+    Between two departures from a query's sources nothing changes, so every
+    departure in the window is a query row of one search, whatever the length
+    of the window. A window of 0 is the query's own time. Travel time is
+    bounded on the whole way, after the search. Equal ways count once.
     """
-    live, found, step = queries.select("query_id", "t", F.col("t").alias("t0")), [], -1 if backward else 1
-    while True:
-        ways = materialize(connections(planner, live, sources, targets, config, backward), "window")
-        if window > 0:
-            edge = F.col("arrival") > F.col("t0") - window if backward else F.col("departure") < F.col("t0") + window
-            ways = materialize(ways.join(live.select("query_id", "t0"), "query_id").where(edge).drop("t0"), "window")
-        found.append(ways)
-        if window <= 0:
-            break
-        next_t = (F.max("arrival") if backward else F.min("departure")) + step
-        nexts = ways.groupBy("query_id").agg(next_t.alias("t"))
-        live = live.select("query_id", "t0").join(nexts, "query_id")
-        live = live.where(F.abs(F.col("t") - F.col("t0")) < window).select("query_id", "t", "t0")
-        live = materialize(live, "window-live")
-        if live.isEmpty():
-            break
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    out = out.dropDuplicates(["query_id", "legs"])
-    return out if max_travel is None else out.where(F.col("seconds") <= max_travel)
+    if window <= 0:
+        found = connections(planner, queries, sources, targets, config, backward)
+    else:
+        moments = arrivals_in(planner, queries, targets, window) if backward else departures_in(planner, queries, sources, window)
+        rows = _rows(moments)
+        ways = connections(planner, _named(rows), _spread(sources, rows), _spread(targets, rows), config, backward)
+        limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
+        dated = _asked(ways, limits, "t0")
+        edge = F.col("arrival") > F.col("t0") - window if backward else F.col("departure") < F.col("t0") + window
+        inside = dated.where(edge).drop("t0")
+        found = inside.groupBy(*[c for c in inside.columns if c != "round"]).agg(F.min("round").alias("round"))
+    return found if max_travel is None else found.where(F.col("seconds") <= max_travel)
+
+
+def _rows(moments: DataFrame) -> DataFrame:
+    """(row_id, asked, t): each moment of a query as a query of its own."""
+    rows = moments.select(F.concat_ws("@", "query_id", "t").alias("row_id"), F.col("query_id").alias("asked"), "t")
+    return materialize(rows, "moments")
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("row_id").alias("query_id"), "t")
+
+
+def _spread(ends: DataFrame, rows: DataFrame) -> DataFrame:
+    """The ends of each query for all its rows."""
+    met = ends.withColumnRenamed("query_id", "asked").join(rows.select("row_id", "asked"), "asked")
+    return met.select(F.col("row_id").alias("query_id"), "stop_id", "walk")
+
+
+def _asked(found: DataFrame, rows: DataFrame, *more: str | Column) -> DataFrame:
+    """What was found for rows, under the query they stand for."""
+    names = rows.select(F.col("row_id").alias("query_id"), "asked", *more)
+    return found.join(names, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
 
 
 def reachable(
     planner: Planner, queries: DataFrame, sources: DataFrame, config: RouteConfig, backward: bool = False
 ) -> DataFrame:
     """The best way from (with backward: to) the sources to every stop, per query."""
-    times = planner.times(backward)
-    network, moving = planner.network, times
-    if backward:
-        moving, network = raptor.mirrored(times, network)
-    axis = F.col("t") * (-1 if backward else 1)
-    starts = sources.join(queries.select("query_id", "t"), "query_id").select("query_id", "stop_id", (axis + F.col("walk")).alias("t"))
-    best = raptor.isolines(raptor.route(starts, moving, network, config))
+    found = raptor.route(_starts(queries, sources, backward), planner.timetable(backward), config)
+    best = raptor.whole_ways(raptor.isolines(found), found)
     ways = raptor.unmirrored(best) if backward else best
     return described(without_idle_start(ways.select("query_id", "round", "stop_id", "legs")))
 
@@ -180,34 +216,28 @@ def latest_equal_start(planner: Planner, queries: DataFrame, sources: DataFrame,
     rides the earliest arrival counts, then the latest departure, and a way
     stays if no way of fewer rides arrives as early.
     """
-    starts = departures_in(planner, queries, sources, window)
-    rows = starts.select(F.concat_ws("@", "query_id", "t").alias("row_id"), "query_id", "t")
-
-    def spread(df: DataFrame) -> DataFrame:
-        return df.join(rows.select("row_id", "query_id"), "query_id").select(F.col("row_id").alias("query_id"), "stop_id", "walk")
-
-    found = connections(planner, rows.select(F.col("row_id").alias("query_id"), "t"), spread(sources), spread(targets), config)
-    named = found.join(rows.select(F.col("row_id"), F.col("query_id").alias("asked")), found["query_id"] == F.col("row_id"))
-    order = Window.partitionBy("asked", "round").orderBy("arrival", F.desc("departure"), "legs")
-    best = named.withColumn("nth", F.row_number().over(order)).where("nth = 1")
-    before = F.min("arrival").over(Window.partitionBy("asked").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
+    rows = _rows(departures_in(planner, queries, sources, window))
+    found = connections(planner, _named(rows), _spread(sources, rows), _spread(targets, rows), config)
+    order = Window.partitionBy("query_id", "round").orderBy("arrival", F.desc("departure"), "legs")
+    best = _asked(found, rows).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    before = F.min("arrival").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
     kept = best.withColumn("before", before).where(F.col("before").isNull() | (F.col("arrival") < F.col("before")))
-    return kept.drop("query_id", "row_id", "nth", "before").withColumnRenamed("asked", "query_id")
+    return kept.drop("nth", "before")
 
 
 def shortest_over_window(planner: Planner, queries: DataFrame, sources: DataFrame, config: RouteConfig, window: int) -> DataFrame:
     """Per query and stop the way of least seconds over all departures in the window.
 
-    Seconds count from the departure, walk to the first stop included; ties go to the
-    earlier departure.
+    Seconds count from the departure, walk to the first stop included; ties go
+    to the earlier departure.
     """
-    rows = departures_in(planner, queries, sources, window).select(F.concat_ws("@", "query_id", "t").alias("row_id"), "query_id", "t")
-    spread = sources.join(rows.select("row_id", "query_id"), "query_id").select(F.col("row_id").alias("query_id"), "stop_id", "walk")
-    found = reachable(planner, rows.select(F.col("row_id").alias("query_id"), "t"), spread, config)
-    named = found.join(rows.select("row_id", F.col("query_id").alias("asked"), F.col("t").alias("start")), found["query_id"] == F.col("row_id"))
-    order = F.struct((F.col("arrival") - F.col("departure")).alias("seconds"), "departure", "arrival", "round", "legs")
-    best = named.groupBy("asked", "stop_id").agg(F.min(order).alias("b"))
-    return best.select(F.col("asked").alias("query_id"), "stop_id", "b.seconds", "b.departure", "b.arrival", "b.round", "b.legs")
+    rows = _rows(departures_in(planner, queries, sources, window))
+    limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
+    named = _asked(reachable(planner, _named(rows), _spread(sources, rows), config), limits, "t0")
+    walks = sources.groupBy("query_id", F.col("stop_id").alias("from_stop")).agg(F.min("walk").alias("walk_in"))
+    begun = named.withColumn("from_stop", F.element_at("legs", 1)["from_stop"]).join(walks, ["query_id", "from_stop"])
+    begun = begun.withColumn("departure", F.col("departure") - F.col("walk_in")).where(F.col("departure") < F.col("t0") + window)
+    return _quickest(begun, F.col("departure"))
 
 
 def arrivals_in(planner: Planner, queries: DataFrame, targets: DataFrame, window: int) -> DataFrame:
@@ -231,23 +261,17 @@ def shortest_over_arrivals(planner: Planner, queries: DataFrame, targets: DataFr
 
     Arrivals and seconds include the walk from the last stop; ties go to the later arrival.
     """
-    rows = arrivals_in(planner, queries, targets, window).select(F.concat_ws("@", "query_id", "t").alias("row_id"), "query_id", "t")
-    spread = targets.join(rows.select("row_id", "query_id"), "query_id").select(F.col("row_id").alias("query_id"), "stop_id", "walk")
-    found = reachable(planner, rows.select(F.col("row_id").alias("query_id"), "t"), spread, config, backward=True)
-    limits = rows.join(queries.select("query_id", F.col("t").alias("t0")), "query_id")
-    named = found.join(limits.select("row_id", F.col("query_id").alias("asked"), "t0"), found["query_id"] == F.col("row_id")).drop("query_id")
-    walks = targets.groupBy(F.col("query_id").alias("asked"), F.col("stop_id").alias("to_stop")).agg(F.min("walk").alias("walk_out"))
-    ended = named.withColumn("to_stop", F.element_at("legs", -1)["to_stop"]).join(walks, ["asked", "to_stop"])
+    rows = _rows(arrivals_in(planner, queries, targets, window))
+    limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
+    named = _asked(reachable(planner, _named(rows), _spread(targets, rows), config, backward=True), limits, "t0")
+    walks = targets.groupBy("query_id", F.col("stop_id").alias("to_stop")).agg(F.min("walk").alias("walk_out"))
+    ended = named.withColumn("to_stop", F.element_at("legs", -1)["to_stop"]).join(walks, ["query_id", "to_stop"])
     ended = ended.withColumn("arrival", F.col("arrival") + F.col("walk_out")).where(F.col("arrival") > F.col("t0") - window)
-    order = F.struct(
-        (F.col("arrival") - F.col("departure")).alias("seconds"), (-F.col("arrival")).alias("late"), "departure", "arrival", "round", "legs"
-    )
-    best = ended.groupBy("asked", "stop_id").agg(F.min(order).alias("b"))
-    return best.select(F.col("asked").alias("query_id"), "stop_id", "b.seconds", "b.departure", "b.arrival", "b.round", "b.legs")
-
-
-def without_bound(config: RouteConfig) -> RouteConfig:
-    """The configuration for a search whose travel time is bounded afterwards."""
-    return replace(config, max_travel=None)
+    return _quickest(ended, -F.col("arrival"))
 
 
+def _quickest(ways: DataFrame, tie: Column) -> DataFrame:
+    seconds = F.col("arrival") - F.col("departure")
+    order = F.struct(seconds.alias("seconds"), tie.alias("tie"), "round", "departure", "arrival", "legs")
+    best = ways.groupBy("query_id", "stop_id").agg(F.min(order).alias("b"))
+    return best.select("query_id", "stop_id", "b.seconds", "b.departure", "b.arrival", "b.round", "b.legs")

@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import METRES_PER_DEGREE, cell, haversine, rounded, walk_seconds
-from ..storage import materialize
-
-MAX_DEPTH = 16
+from ..storage import counted, materialize
 
 
 def search(stops: DataFrame, text: str, how: str = "contains") -> DataFrame:
@@ -141,21 +139,21 @@ def walk_transfers(
 def ancestors(stops: DataFrame) -> DataFrame:
     """(stop_id, ancestor, depth): each stop with itself (depth 0) and all it lies below.
 
-    A cycle of parents ends where it would repeat.
+    A cycle of parents ends where it would repeat; chains of any depth are followed.
     """
     parents = stops.select(F.col("stop_id").alias("child"), F.col("parent_station").alias("parent")).where(
         "parent_station is not null"
     )
     level = stops.select("stop_id", F.col("stop_id").alias("ancestor"), F.array("stop_id").alias("path"))
     levels = [level]
-    for _ in range(MAX_DEPTH):
+    while True:
         up = level.join(parents, level["ancestor"] == parents["child"])
         up = up.where(~F.array_contains("path", F.col("parent")))
-        level = materialize(
+        level, n = counted(
             up.select("stop_id", F.col("parent").alias("ancestor"), F.array_append("path", F.col("parent")).alias("path")),
             "ancestors",
         )
-        if level.isEmpty():
+        if not n:
             break
         levels.append(level)
     out = levels[0]

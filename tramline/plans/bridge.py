@@ -1,7 +1,8 @@
 """A transit schedule made from the star-schema tables, and the same as SQL.
 
 Suppliers are stops, regions agencies, nations routes, orders trips and order
-priorities services. All formulas are whole numbers.
+priorities services. Every fourth trip runs its route the other way round, so
+a route has two patterns. All formulas are whole numbers.
 """
 
 from __future__ import annotations
@@ -70,7 +71,8 @@ def schedule_of(spark: SparkSession, sf_dir: str) -> Schedule:
     )
     pos = F.explode(F.sequence(F.lit(0), F.lit(STOPS_PER_TRIP - 1)))
     placed = ridden.select("o_orderkey", "c_nationkey", pos.alias("pos"))
-    stop = (F.col("c_nationkey") * 7 + F.col("pos") * (1 + F.col("c_nationkey") % 3)) % stop_count + 1
+    along = F.when(number % 4 == 0, STOPS_PER_TRIP - 1 - F.col("pos")).otherwise(F.col("pos"))
+    stop = (F.col("c_nationkey") * 7 + along * (1 + F.col("c_nationkey") % 3)) % stop_count
     leaves = 18000 + (number * 97 % 1260) * 60 + F.col("pos") * HOP
     stop_times = placed.select(
         (number * STOPS_PER_TRIP + F.col("pos")).alias("row_id"),
@@ -94,7 +96,7 @@ def schedule_of(spark: SparkSession, sf_dir: str) -> Schedule:
     roots = supplier.where(key % 5 == 0)
     transfers = roots.select(
         stop_id(key).alias("from_stop_id"),
-        stop_id((key + 4) % stop_count + 1).alias("to_stop_id"),
+        stop_id((key + 5) % stop_count).alias("to_stop_id"),
         F.lit(2).alias("transfer_type"),
         (120 + key % 7 * 30).cast("int").alias("min_transfer_time"),
     )
@@ -125,10 +127,17 @@ trips AS (
   FROM orders JOIN customer ON c_custkey = o_custkey),
 stop_times AS (
   SELECT trip_id, route_id, service_id, o_orderkey * {STOPS_PER_TRIP} + pos AS row_id, pos,
-    's' || ((c_nationkey * 7 + pos * (1 + c_nationkey % 3)) % stops + 1) AS stop_id,
+    's' || ((c_nationkey * 7 + CASE WHEN o_orderkey % 4 = 0 THEN {STOPS_PER_TRIP - 1} - pos ELSE pos END * (1 + c_nationkey % 3)) % stops) AS stop_id,
     18000 + (o_orderkey * 97 % 1260) * 60 + pos * {HOP} AS departure,
     18000 + (o_orderkey * 97 % 1260) * 60 + pos * {HOP} - CASE WHEN pos = 0 THEN 0 ELSE {DWELL} END AS arrival
   FROM trips, n, range({STOPS_PER_TRIP}) p(pos)),
+firsts AS (SELECT trip_id, route_id, o_orderkey % 4 = 0 AS back, 18000 + (o_orderkey * 97 % 1260) * 60 AS dep0 FROM trips),
+pattern_firsts AS (SELECT * FROM firsts QUALIFY row_number() OVER (PARTITION BY route_id, back ORDER BY dep0, trip_id) = 1),
+pattern_names AS (
+  SELECT route_id, back, route_id || '_sr' || row_number() OVER (PARTITION BY route_id ORDER BY dep0, trip_id) AS pattern_id FROM pattern_firsts),
+placed AS (
+  SELECT trip_id, route_id, pattern_id, (row_number() OVER (PARTITION BY pattern_id ORDER BY dep0, trip_id) - 1)::INTEGER AS ord
+  FROM firsts JOIN pattern_names USING (route_id, back)),
 services AS (SELECT DISTINCT o_orderpriority AS service_id, substr(o_orderpriority, 1, 1)::INTEGER AS digit FROM orders),
 calendar AS (SELECT service_id, {_DAY_SQL}, DATE '{YEAR_START}' AS start_date, DATE '{YEAR_END}' AS end_date FROM services),
 calendar_dates AS (
@@ -141,6 +150,6 @@ active AS (
     WHEN 1 THEN TRUE WHEN 2 THEN FALSE
     ELSE [c.monday, c.tuesday, c.wednesday, c.thursday, c.friday, c.saturday, c.sunday][isodow(d.date)] END),
 transfers AS (
-  SELECT 's' || s_suppkey AS from_stop, 's' || ((s_suppkey + 4) % stops + 1) AS to_stop, 120 + s_suppkey % 7 * 30 AS duration
+  SELECT 's' || s_suppkey AS from_stop, 's' || ((s_suppkey + 5) % stops) AS to_stop, 120 + s_suppkey % 7 * 30 AS duration
   FROM supplier, n WHERE s_suppkey % 5 = 0)
 """

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.codes import EXTENDED, MODES
 from .bridge import DATE, SCHEDULE_SQL
-from .queries import ASKED, LOCATIONS, RADIUS
+from .queries import ASKED, LOCATIONS, RADIUS, SAMPLE
 
 
 def _with(extra: str, select: str) -> str:
@@ -84,52 +84,139 @@ def _transfers(generated: str | None) -> str:
       QUALIFY row_number() OVER (PARTITION BY from_stop, to_stop ORDER BY rank DESC, duration) = 1)"""
 
 
-def _rounds(rides: int, backward: bool, select: str) -> str:
-    """Labels of the first rounds, one group of CTEs per round."""
-    rows = ", ".join(f"('q{i}', '{b if backward else a}', '{b}', {-(h * 3600) - 36000 if backward else h * 3600}::BIGINT)" for i, (a, b, h) in ASKED.items())
-    times = {
-        False: "s.arrival + z.shift AS arr, s.departure + z.shift AS dep, s.pos AS pos, o.ord AS ord",
-        True: "-(s.departure + z.shift) AS arr, -(s.arrival + z.shift) AS dep, 5 - s.pos AS pos, -o.ord AS ord",
-    }[backward]
+_NO_LEGS = "[]::STRUCT(kind VARCHAR, pattern_id VARCHAR, trip_id VARCHAR, from_stop VARCHAR, to_stop VARCHAR, dep BIGINT, arr BIGINT)[]"
+_SIMPLE = "asked AS (SELECT * FROM (VALUES " + ", ".join(f"('q{i}', '{a}', '{b}', {h * 3600}::BIGINT)" for i, (a, b, h) in ASKED.items()) + ") v(q, a, b, t))"
+_LATER = _SIMPLE.replace("SELECT * FROM", "SELECT q, a, b, t + 36000 AS t FROM")
+_WALK = "{{kind: 'WALK', pattern_id: NULL::VARCHAR, trip_id: NULL::VARCHAR, from_stop: {a}, to_stop: g, dep: {t}, arr: {t} + duration}}"
+
+
+def _moments(window: int, backward: bool, asked: str) -> str:
+    """CTEs down to asked(q, a, b, t): a query row for each departure (arrival) of a query's own stops in its window."""
+    if backward:
+        near = "SELECT q, stop_id, 0 AS walk, base.t FROM base JOIN stops ON stop_id = b"
+        near += " UNION ALL SELECT q, from_stop, duration, base.t FROM base JOIN paths ON to_stop = b WHERE from_stop <> to_stop"
+        events, inside = "arr + walk AS t1 FROM near JOIN fw USING (stop_id) WHERE fw.pos > 0", "t1 <= t AND t1 > t - {w}"
+    else:
+        near = "SELECT q, a AS stop_id, 0 AS walk, base.t FROM base"
+        near += " UNION ALL SELECT q, to_stop, duration, base.t FROM base JOIN paths ON from_stop = a WHERE from_stop <> to_stop"
+        events, inside = "dep - walk AS t1 FROM near JOIN fw USING (stop_id) WHERE fw.pos < 5", "t1 >= t AND t1 < t + {w}"
+    return f"""{asked.replace("asked AS", "base AS", 1)}, near AS ({near}),
+    moments AS (SELECT q, t AS t1 FROM base UNION SELECT q, t1 FROM (SELECT q, near.t, {events}) WHERE {inside.format(w=window)}),
+    asked AS (SELECT base.q || '@' || t1 AS q, base.q AS q0, a, b, t1 AS t, base.t AS t0 FROM moments JOIN base USING (q))"""
+
+
+def _rounds(rides: int, backward: bool, asked: str) -> str:
+    """CTEs down to labels(round, q, stop, kind, t, cmp, start, n, legs): one group of CTEs per round.
+
+    Ties as in the search: less time, a ride, the later start, fewer legs, ids.
+    """
+    sign = "-" if backward else ""
+    times = "-f.dep AS arr, -f.arr AS dep, 5 - f.pos AS pos, -f.ord AS ord" if backward else "f.arr, f.dep, f.pos, f.ord"
     ends = ("to_stop", "from_stop") if backward else ("from_stop", "to_stop")
     parts = [
         _transfers(None),
         _ZONED,
-        f"ord AS (SELECT trip_id, row_number() OVER (PARTITION BY route_id ORDER BY departure, trip_id) AS ord FROM stop_times WHERE pos = 0)",
-        f"""tt AS (SELECT s.route_id AS p, s.trip_id, s.stop_id, {times} FROM stop_times s JOIN zoned z USING (route_id) JOIN ord o USING (trip_id)
+        f"""fw AS (SELECT o.pattern_id AS p, s.trip_id, s.stop_id, s.arrival + z.shift AS arr, s.departure + z.shift AS dep, s.pos, o.ord
+          FROM stop_times s JOIN zoned z USING (route_id) JOIN placed o USING (trip_id)
           JOIN active a ON a.service_id = s.service_id AND a.date = DATE '{DATE}')""",
+        f"tt AS (SELECT f.p, f.trip_id, f.stop_id, {times} FROM fw f)",
         f"foot AS (SELECT {ends[0]} AS f, {ends[1]} AS g, duration FROM paths WHERE from_stop <> to_stop)",
-        f"asked AS (SELECT * FROM (VALUES {rows}) v(q, a, b, t))",
-        "l0 AS (SELECT q, a AS stop, 'START' AS kind, t, t AS cmp FROM asked WHERE a IN (FROM served))",
-        "w0 AS (SELECT q, g AS stop, 'WALK' AS kind, min(t + duration) AS t, min(t + duration) - 120 AS cmp FROM l0 JOIN foot ON stop = f GROUP BY q, g)",
-        "f0 AS (FROM l0 UNION ALL SELECT w.* FROM w0 w LEFT JOIN l0 USING (q, stop) WHERE l0.cmp IS NULL OR w.cmp < l0.cmp)",
-        "b0 AS (SELECT q, stop, min(cmp) AS cmp FROM f0 GROUP BY ALL)",
+        asked,
+        f"l0 AS (SELECT q, {'b' if backward else 'a'} AS stop, {sign}t AS t FROM asked WHERE {'b' if backward else 'a'} IN (FROM served))",
+        f"""f0 AS (FROM (SELECT q, stop, 'START' AS kind, t, t AS cmp, t AS start, 0 AS n, {_NO_LEGS} AS legs, '' AS p, '' AS trip, '' AS a, '' AS b FROM l0
+          UNION ALL SELECT q, g, 'WALK', t + duration, t + duration - 120, t, 1, [{_WALK.format(a="stop", t="t")}], '', '', stop, '' FROM l0 JOIN foot ON stop = f)
+          QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, kind, start DESC, n, p, trip, a, b) = 1)""",
     ]
     for k in range(1, rides + 1):
         j = k - 1
+        known = " UNION ALL ".join(f"SELECT q, stop, cmp FROM f{i}" for i in range(k))
         parts += [
-            f"""s{k} AS (SELECT f.q, d.p, d.pos, f.t, f.kind, arg_min(d.trip_id, d.ord) AS trip_id FROM f{j} f JOIN tt d ON d.stop_id = f.stop AND d.pos < 5
+            f"k{k} AS (SELECT q, stop, min(cmp) AS least FROM ({known}) GROUP BY ALL)",
+            f"""s{k} AS (SELECT f.q, f.stop, f.start, f.n, d.p, d.pos, arg_min({{id: d.trip_id, dep: d.dep}}, d.ord) AS trip
+              FROM f{j} f JOIN tt d ON d.stop_id = f.stop AND d.pos < 5
               AND d.dep >= f.t + CASE WHEN f.kind = 'RIDE' THEN 120 ELSE 0 END GROUP BY ALL)""",
-            f"""r{k} AS (SELECT s.q, d.stop_id AS stop, 'RIDE' AS kind, min(d.arr) AS t, min(d.arr) AS cmp FROM s{k} s JOIN tt d ON d.trip_id = s.trip_id AND d.pos > s.pos
-              GROUP BY s.q, d.stop_id)""",
-            f"i{k} AS (SELECT r.* FROM r{k} r LEFT JOIN b{j} b USING (q, stop) WHERE b.cmp IS NULL OR r.cmp < b.cmp)",
-            f"c{k} AS (SELECT q, stop, min(cmp) AS cmp FROM (FROM b{j} UNION ALL SELECT q, stop, cmp FROM i{k}) GROUP BY ALL)",
-            f"w{k} AS (SELECT q, g AS stop, 'WALK' AS kind, min(t + duration) AS t, min(t + duration) - 120 AS cmp FROM i{k} JOIN foot ON stop = f GROUP BY q, g)",
-            f"v{k} AS (SELECT w.* FROM w{k} w LEFT JOIN c{k} b USING (q, stop) WHERE b.cmp IS NULL OR w.cmp < b.cmp)",
-            f"f{k} AS (FROM (FROM i{k} UNION ALL FROM v{k}) QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp) = 1)",
-            f"b{k} AS (SELECT q, stop, min(cmp) AS cmp FROM (FROM c{k} UNION ALL SELECT q, stop, cmp FROM f{k}) GROUP BY ALL)",
+            f"""r{k} AS (SELECT s.q, d.stop_id AS stop, d.arr AS t, CASE WHEN s.n = 0 THEN s.trip.dep ELSE s.start END AS start, s.n + 1 AS n,
+                s.p, s.trip.id AS trip, s.stop AS a, s.trip.dep AS dep
+              FROM s{k} s JOIN tt d ON d.trip_id = s.trip.id AND d.pos > s.pos
+              QUALIFY row_number() OVER (PARTITION BY s.q, d.stop_id ORDER BY d.arr, CASE WHEN s.n = 0 THEN s.trip.dep ELSE s.start END DESC, s.n, s.p, s.trip.id, s.stop) = 1)""",
+            f"""i{k} AS (SELECT r.*, {{kind: 'RIDE', pattern_id: p, trip_id: trip, from_stop: a, to_stop: stop, dep: dep, arr: t}} AS leg
+              FROM r{k} r LEFT JOIN k{k} b USING (q, stop) WHERE least IS NULL OR t < least)""",
+            f"""v{k} AS (SELECT q, stop, 'RIDE' AS kind, t, t AS cmp, start, n, [leg] AS own, p, trip, a, stop AS b FROM i{k}
+              UNION ALL SELECT q, g, 'WALK', t + duration, t + duration - 120, start, n + 1, [leg, {_WALK.format(a="stop", t="t")}], p, trip, a, stop
+              FROM i{k} JOIN foot ON stop = f)""",
+            f"""c{k} AS (SELECT v.* FROM v{k} v LEFT JOIN k{k} b USING (q, stop) WHERE least IS NULL OR cmp < least
+              QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, kind, start DESC, n, p, trip, a, v.b) = 1)""",
+            f"""f{k} AS (SELECT c.q, c.stop, c.kind, c.t, c.cmp, c.start, c.n, list_concat(e.legs, c.own) AS legs, c.p, c.trip, c.a, c.b
+              FROM c{k} c JOIN f{j} e ON e.q = c.q AND e.stop = c.a)""",
         ]
-    parts.append("labels AS (" + " UNION ALL ".join(f"SELECT {k} AS round, * FROM f{k}" for k in range(rides + 1)) + ")")
-    return _with(", ".join(parts), select)
+    parts.append("labels AS (" + " UNION ALL ".join(f"SELECT {k} AS round, q, stop, kind, t, cmp, start, n, legs FROM f{k}" for k in range(rides + 1)) + ")")
+    return ", ".join(parts)
+
+
+def _turned(backward: bool) -> str:
+    if not backward:
+        return "legs"
+    turned = "{kind: x.kind, pattern_id: x.pattern_id, trip_id: x.trip_id, from_stop: x.to_stop, to_stop: x.from_stop, dep: -x.arr, arr: -x.dep}"
+    return f"list_reverse(list_transform(legs, lambda x: {turned}))"
+
+
+_BEST_LABELS = """best AS (SELECT q, stop AS stop_id, round, {legs} AS legs FROM labels WHERE kind <> 'START' AND (q, stop) NOT IN (SELECT (q, stop) FROM l0)
+  QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, round) = 1)"""
+
+_FRONT = """ends AS (SELECT l.*, {far} AS goal FROM labels l JOIN asked a ON a.q = l.q AND {far} = l.stop WHERE kind <> 'START'
+    QUALIFY row_number() OVER (PARTITION BY l.q, round ORDER BY l.t, start DESC, n) = 1),
+  front AS (SELECT *, min(t) OVER (PARTITION BY q ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ends)"""
+
+_DETOURS = """calls AS (SELECT trip_id, stop_id, min(arr) AS c_arr, min(dep) AS c_dep FROM fw GROUP BY ALL),
+  best AS (SELECT q, round, {legs} AS legs FROM front WHERE before IS NULL OR t < before),
+  tails AS (SELECT q, round, CASE WHEN legs[-1].kind = 'WALK' AND c_arr <= legs[-1].arr AND c_arr > legs[-2].dep
+      THEN list_append(legs[1:len(legs) - 2], struct_update(legs[-2], to_stop := legs[-1].to_stop, arr := c_arr)) ELSE legs END AS legs
+    FROM best LEFT JOIN calls ON trip_id = legs[-2].trip_id AND stop_id = legs[-1].to_stop AND len(legs) > 1),
+  heads AS (SELECT q, round, CASE WHEN legs[1].kind = 'WALK' AND legs[2].kind = 'RIDE' AND c_dep >= legs[1].dep AND c_dep < legs[2].arr
+      THEN list_prepend(struct_update(legs[2], from_stop := legs[1].from_stop, dep := c_dep), legs[3:]) ELSE legs END AS legs
+    FROM tails LEFT JOIN calls ON trip_id = legs[2].trip_id AND stop_id = legs[1].from_stop)"""
+
+_IDLE = """late AS (SELECT *, CASE WHEN legs[1].kind = 'WALK' AND legs[2].kind = 'RIDE' THEN greatest(legs[2].dep - legs[1].arr, 0) ELSE 0 END AS idle FROM {of}),
+  shifted AS (SELECT * REPLACE (list_prepend(struct_update(legs[1], dep := legs[1].dep + idle, arr := legs[1].arr + idle), legs[2:]) AS legs) FROM late),
+  ways AS (SELECT *, legs[1].dep AS departure, legs[-1].arr AS arrival, legs[1].from_stop AS from_stop, legs[-1].to_stop AS to_stop,
+    len(list_filter(legs, lambda x: x.kind = 'RIDE'))::INTEGER AS n_rides, len(list_filter(legs, lambda x: x.kind = 'WALK'))::INTEGER AS n_walks,
+    len(list_filter(range(1, len(legs)), lambda i: legs[i].kind = 'RIDE' AND legs[i + 1].kind = 'RIDE'))::INTEGER AS n_same_stop FROM shifted)"""
+
+_COUNTED = """departure, arrival, from_stop, to_stop, n_rides, n_walks, n_same_stop, greatest(n_rides - 1, 0)::INTEGER AS n_transfers,
+  arrival - departure AS seconds, 0::BIGINT AS walk_in, 0::BIGINT AS walk_out"""
+
+
+def _reached(rides: int, backward: bool, select: str, asked: str = "") -> str:
+    """SQL over ways(q, stop_id, round, legs, ..) to every stop."""
+    asked = asked or (_LATER if backward else _SIMPLE)
+    best = _BEST_LABELS.format(legs=_turned(backward))
+    return _with(f"{_rounds(rides, backward, asked)}, {best}, {_IDLE.format(of='best')}", select)
+
+
+def _connected(rides: int, select: str, asked: str = _SIMPLE, extra: str = "") -> str:
+    """SQL over ways(q, round, legs, ..) between two stops."""
+    parts = [_rounds(rides, False, asked), _FRONT.format(far="b"), _DETOURS.format(legs="legs"), _IDLE.format(of="heads")]
+    return _with(", ".join(parts) + extra, select)
+
+
+_QUICKEST = """SELECT q0 AS query_id, stop_id, arrival - departure AS seconds, departure, arrival, round FROM ways JOIN asked USING (q)
+  WHERE {edge} QUALIFY row_number() OVER (PARTITION BY q0, stop_id ORDER BY arrival - departure, {tie}, round, departure) = 1"""
 
+_PARETO = "SELECT q AS query_id, round, t FROM front WHERE before IS NULL OR t < before"
 
-_BEST = """SELECT q AS query_id, stop AS stop_id, round, {t} AS t FROM labels WHERE kind <> 'START' AND (q, stop) NOT IN (SELECT (q, a) FROM asked)
-  QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, round, t) = 1"""
+_SAMPLE = f"""numbered AS (SELECT stop_id, row_number() OVER (ORDER BY stop_id) - 1 AS nth, count(*) OVER () AS n FROM served),
+  pairs AS (SELECT i, i * 7919 % n AS x, (i * 7919 + 1 + i * 104729 % (n - 1)) % n AS y, i * 15485863 % 86400 AS t FROM range({{size}}) r(i), (SELECT count(*) AS n FROM served)),
+  asked AS (SELECT i::VARCHAR AS q, s.stop_id AS a, d.stop_id AS b, t FROM pairs JOIN numbered s ON s.nth = x JOIN numbered d ON d.nth = y)"""
 
-_PARETO = """SELECT query_id, round, t FROM (
-  SELECT *, min(t) OVER (PARTITION BY query_id ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
-  FROM (SELECT l.q AS query_id, round, min(l.t) AS t FROM labels l JOIN asked a ON a.q = l.q AND a.b = l.stop WHERE kind <> 'START' GROUP BY ALL))
-  WHERE before IS NULL OR t < before"""
+_TIMES = """SELECT i AS id, a AS source_stop_id, b AS target_stop_id, s.stop_name AS source_stop_name, d.stop_name AS target_stop_name,
+    strftime(TIMESTAMP '{day}' + to_seconds(asked.t::BIGINT), '%Y-%m-%dT%H:%M:%S') AS requested_departure_time, count(ways.q) AS connections,
+    coalesce(strftime(TIMESTAMP '{day}' + to_seconds(min(departure)::BIGINT), '%Y-%m-%dT%H:%M:%S'), 'N/A') AS earliest_departure_time,
+    coalesce(strftime(TIMESTAMP '{day}' + to_seconds(min(arrival)::BIGINT), '%Y-%m-%dT%H:%M:%S'), 'N/A') AS earliest_arrival_time,
+    coalesce(min(arrival - departure), -1)::BIGINT AS min_duration, coalesce(max(arrival - departure), -1)::BIGINT AS max_duration,
+    coalesce(min(CASE WHEN n_rides > 1 THEN n_rides - 1 WHEN n_rides >= 0 THEN 0 END), -1)::INTEGER AS min_transfers, coalesce(max(CASE WHEN n_rides > 1 THEN n_rides - 1 WHEN n_rides >= 0 THEN 0 END), -1)::INTEGER AS max_transfers,
+    floor(any_value({beeline}) + 0.5)::BIGINT AS beeline_distance
+  FROM (SELECT *, q::BIGINT AS i FROM asked) asked LEFT JOIN ways USING (q) JOIN stops s ON s.stop_id = a JOIN stops d ON d.stop_id = b
+  GROUP BY i, a, b, s.stop_name, d.stop_name, asked.t"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -162,13 +249,28 @@ def oracle_sql() -> dict[str, str]:
         "walk_transfers": _with(_WALKS, "SELECT from_stop, to_stop, distance, duration FROM walks"),
         "stop_ancestors": _with(_ABOVE, "SELECT stop_id, ancestor, depth FROM above"),
         "stop_access": _with("", "SELECT s.stop_id, CASE WHEN s.wheelchair_boarding <> 0 THEN s.wheelchair_boarding ELSE coalesce(p.wheelchair_boarding, 0) END AS wheelchair_boarding FROM stops s LEFT JOIN stops p ON p.stop_id = s.parent_station"),
-        "patterns": _with("", "SELECT route_id || '_sr1' AS pattern_id, route_id, stop_ids, count(*) AS n_trips FROM (SELECT trip_id, route_id, string_agg(stop_id, ',' ORDER BY pos) AS stop_ids FROM stop_times GROUP BY ALL) GROUP BY ALL"),
-        "trip_order": _with("", "SELECT route_id || '_sr1' AS pattern_id, trip_id, (row_number() OVER (PARTITION BY route_id ORDER BY departure, trip_id) - 1)::INTEGER AS trip_ord FROM stop_times WHERE pos = 0"),
+        "patterns": _with("", "SELECT pattern_id, route_id, stop_ids, count(*) AS n_trips FROM (SELECT trip_id, route_id, string_agg(stop_id, ',' ORDER BY pos) AS stop_ids FROM stop_times GROUP BY ALL) JOIN placed USING (trip_id, route_id) GROUP BY ALL"),
+        "trip_order": _with("", "SELECT pattern_id, trip_id, ord AS trip_ord FROM placed"),
         "trip_positions": _with("", "SELECT trip_id, stop_id, pos::INTEGER AS pos FROM stop_times"),
         "connecting_hops": _with("", "SELECT trip_id, pos::INTEGER AS pos, stop_id, lag(stop_id) OVER w AS prev_stop, lead(stop_id) OVER w AS next_stop FROM stop_times WINDOW w AS (PARTITION BY trip_id ORDER BY pos)"),
         "transfers_precedence": _with(f"{_WALKS}, {_transfers('walks')}", "SELECT from_stop, to_stop, duration FROM paths"),
-        "earliest_arrival_k1": _rounds(1, False, _BEST.format(t="t")),
-        "isolines_k3": _rounds(3, False, _BEST.format(t="t")),
-        "latest_departure_k2": _rounds(2, True, _BEST.format(t="-t")),
-        "pareto_k3": _rounds(3, False, _PARETO),
+        "stop_times_json": _with("", "SELECT to_json({row_id: row_id, trip_id: trip_id, stop_id: stop_id, arrival: arrival, departure: departure})::VARCHAR AS json FROM stop_times"),
+        "stops_json": _with("", "SELECT CASE WHEN parent_station IS NULL THEN to_json({stop_id: stop_id, stop_name: stop_name})::VARCHAR ELSE to_json({stop_id: stop_id, stop_name: stop_name, parent_station: parent_station})::VARCHAR END AS json FROM stops"),
+        "earliest_arrival_k1": _reached(1, False, "SELECT q AS query_id, stop_id, round, arrival AS t FROM ways"),
+        "isolines_k3": _reached(3, False, "SELECT q AS query_id, stop_id, round, arrival AS t FROM ways"),
+        "latest_departure_k2": _reached(2, True, "SELECT q AS query_id, stop_id, round, departure AS t FROM ways"),
+        "pareto_k3": _with(f"{_rounds(3, False, _SIMPLE)}, {_FRONT.format(far='b')}", _PARETO),
+        "journey_legs": _connected(3, f"SELECT q AS query_id, round, (i - 1)::INTEGER AS nth, legs[i].kind AS kind, legs[i].pattern_id AS pattern_id, legs[i].trip_id AS trip_id, CASE WHEN legs[i].kind = 'RIDE' THEN DATE '{DATE}' END AS service_date, legs[i].from_stop AS from_stop, legs[i].to_stop AS to_stop, legs[i].dep AS dep, legs[i].arr AS arr FROM (SELECT *, unnest(range(1, len(legs) + 1)) AS i FROM ways)"),
+        "journey_counts": _connected(3, f"SELECT q AS query_id, round, {_COUNTED} FROM ways"),
+        "timing_table": _connected(3, _TIMES.format(day=DATE, beeline=_haversine("s", "d")), _SIMPLE.replace("'q", "'")),
+        "route_sample": _connected(3, _TIMES.format(day=DATE, beeline=_haversine("s", "d")), _SAMPLE.format(size=SAMPLE)),
+        "window_connections": _connected(2, f"SELECT q0 AS query_id, round, {_COUNTED} FROM ways JOIN asked USING (q) WHERE departure < t0 + 600 QUALIFY row_number() OVER (PARTITION BY q0, legs ORDER BY round) = 1", _moments(600, False, _SIMPLE)),
+        "range_k2": _connected(
+            2,
+            f"SELECT q0 AS query_id, round, {_COUNTED} FROM (SELECT *, min(arrival) OVER (PARTITION BY q0 ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM firsts_per_round) WHERE before IS NULL OR arrival < before",
+            _moments(1800, False, _SIMPLE),
+            ", firsts_per_round AS (SELECT * FROM ways JOIN (SELECT q, q0 FROM asked) USING (q) QUALIFY row_number() OVER (PARTITION BY q0, round ORDER BY arrival, departure DESC, legs) = 1)",
+        ),
+        "shortest_isolines": _reached(2, False, _QUICKEST.format(edge="departure < t0 + 900", tie="departure"), _moments(900, False, _SIMPLE)),
+        "shortest_isolines_arrive": _reached(2, True, _QUICKEST.format(edge="arrival > t0 - 900", tie="arrival DESC"), _moments(900, True, _LATER)),
     }

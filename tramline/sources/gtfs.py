@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
 import zipfile
 from dataclasses import dataclass, field, fields, replace
 from urllib.parse import urlparse
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_service_time
+from ..storage import scratch_path
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
@@ -74,14 +75,24 @@ def locate(uri: str, staging: str | None = None) -> str:
     raise ScheduleError(f"no way to read {uri}")
 
 
-def unzip(archive: str, target: str | None = None) -> str:
-    """Extract the root-level tables of a zip file to a folder and return it."""
-    folder = target or tempfile.mkdtemp(prefix="gtfs-")
+def unzip(spark: SparkSession, archive: str) -> str:
+    """Extract the root-level tables of a zip file to a new shared folder and return it.
+
+    Executors read the archive and write the tables; names with a folder, or
+    leading out of it, are never extracted.
+    """
+    folder = scratch_path(spark, "feed")
     wanted = {f"{name}.txt" for name in SCHEMAS}
-    with zipfile.ZipFile(archive) as packed:
-        for name in packed.namelist():
-            if name in wanted:  # names with a folder, or leading out of it, are never extracted
-                packed.extract(name, folder)
+
+    def lines(content: bytes, name: str) -> list[str]:
+        with zipfile.ZipFile(io.BytesIO(content)) as packed:
+            return packed.read(name).decode("utf-8-sig").splitlines()
+
+    packed = spark.read.format("binaryFile").load(archive).select("content")
+    for row in packed.rdd.flatMap(lambda r: zipfile.ZipFile(io.BytesIO(r["content"])).namelist()).collect():
+        if row in wanted:
+            text = packed.rdd.flatMap(lambda r, name=row: [(line,) for line in lines(r["content"], name)])
+            spark.createDataFrame(text, "value string").write.text(f"{folder}/{row}")
     return folder
 
 
@@ -96,7 +107,7 @@ def read_schedule(spark: SparkSession, path: str) -> Schedule:
     and repeated keys are errors.
     """
     if path.endswith(".zip"):
-        path = unzip(path)
+        path = unzip(spark, path)
     raw = {name: _csv(spark, f"{path}/{name}.txt") for name in SCHEMAS}
     missing = [n for n in REQUIRED if raw[n] is None]
     if missing or all(raw[n] is None for n in ONE_OF):
