@@ -238,15 +238,16 @@ def scan_block(
             bound = q_rot[:, :head] @ c_rot[some, :head].T + q_rest[0][:, None] * c_rest[0][None, some] + slack[:, None]
             # not a number (lengths beyond a double) rules nothing out
             i, j = np.nonzero(~(bound < reach[:, None]) & (query_rows[:, None] != rows[None, some]))
-            for level, head in enumerate(heads[1:], 1):
-                more = np.einsum("ij,ij->i", q_rot[i, :head], c_rot[at + j, :head]) + q_rest[level][i] * c_rest[level][at + j] + slack[i]
-                near = ~(more < reach[i])
+            if 16 * len(i) > bound.size and q_norm.max() * c_norm[at] < DOUBLE_EXACT:
+                score = (q @ c[some].T)[i, j].astype(np.int64)  # many are left: all products at once
+            else:
+                more = np.einsum("ij,ij->i", q_rot[i, : heads[-1]], c_rot[at + j, : heads[-1]])
+                near = ~(more + q_rest[-1][i] * c_rest[-1][at + j] + slack[i] < reach[i])
                 i, j = i[near], j[near]
-            lengths = q_norm[i] * c_norm[at + j]
-            score = np.zeros(len(i), np.int64)
-            for start in range(0, len(i), 1 << 16):
-                piece = slice(start, start + (1 << 16))
-                score[piece] = exact_products(q[i[piece]], c[at + j[piece]], lengths[piece])
+                lengths, score = q_norm[i] * c_norm[at + j], np.zeros(len(i), np.int64)
+                for start in range(0, len(i), 1 << 16):
+                    piece = slice(start, start + (1 << 16))
+                    score[piece] = exact_products(q[i[piece]], c[at + j[piece]], lengths[piece])
             good = ~known[i] | (score >= tau[i])
             i, j, score = i[good], j[good], score[good]
             if not len(i):
