@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -11,13 +12,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, else the context's checkpoint folder.
 
-    A folder below the local temporary one is used only where that setting
-    is unset, as in local tests.
+    Only where everything runs on one machine, as in tests, a folder below the
+    local temporary one stands in for it; on a cluster it has to be set.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    return path or os.path.join(tempfile.gettempdir(), "tramline-checkpoints")
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if path:
+        return path
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return os.path.join(tempfile.gettempdir(), "tramline-checkpoints")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -37,6 +42,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove written tables that nothing reads any more, and what the cleaner holds for forgotten ones.
+
+    Spark's cleaner removes a shuffle's files once the driver's JVM has
+    collected the plan, which on a large heap may take longer than a job.
+    """
+    for df in written:
+        spark = df.sparkSession
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    gc.collect()
+    if written:
+        written[0].sparkSession._jvm.java.lang.System.gc()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
