@@ -99,19 +99,6 @@ def _starts(queries: DataFrame, near: DataFrame, backward: bool) -> DataFrame:
     return near.join(asked, "query_id").select("query_id", "stop_id", (F.col("t") + F.col("walk")).alias("t"))
 
 
-SPREAD = 86_400
-
-
-def check_starts(starts: DataFrame, network: Network) -> None:
-    """Starts (query_id, stop_id, t) of a query lie within a day, and one of them at least is known."""
-    known = starts.join(network.net_stops.select("stop_id", F.lit(1).alias("known")), "stop_id", "left")
-    each = known.groupBy("query_id").agg((F.max("t") - F.min("t")).alias("spread"), F.count("known").alias("known"))
-    bad = each.where((F.col("spread") > SPREAD) | (F.col("known") == 0)).first()
-    if bad:
-        why = "none of its stops is known" if not bad["known"] else "its times are more than a day apart"
-        raise InvalidRequest(f"query {bad['query_id']}: {why}")
-
-
 def _both(sources: DataFrame, targets: DataFrame) -> bool:
     return not sources.join(targets.select("query_id", "stop_id"), ["query_id", "stop_id"], "left_semi").isEmpty()
 
