@@ -6,11 +6,12 @@ import duckdb
 import pytest
 
 import __spark_entry__
+from tramline.plans import more_queries, more_sql, sql
 from tramline.plans import queries as transit
-from tramline.plans import sql
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("region", "nation", "customer", "supplier", "orders")
+TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
+QUERIES, SQL = transit.queries() | more_queries.queries(), sql.oracle_sql() | more_sql.oracle_sql()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables aren't here")
 
@@ -29,10 +30,10 @@ def plain(rows, columns):
     return sorted(tuple(str(row[i]) for i in order) for row in rows), sorted(columns)
 
 
-@pytest.mark.parametrize("name", sorted(sql.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
-    found = transit.queries()[name](spark, SF)
-    wanted = duck.execute(sql.oracle_sql()[name])
+    found = QUERIES[name](spark, SF)
+    wanted = duck.execute(SQL[name])
     assert plain(found.collect(), found.columns) == plain(wanted.fetchall(), [c[0] for c in wanted.description])
 
 

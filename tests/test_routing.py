@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 from tramline.operators.journeys import broken_ways
 from tramline.operators.network import ScheduleError, build_network
 from tramline.operators.raptor import RouteConfig, route
-from tramline.operators.routing import InvalidRequest, connections, latest_equal_start, reachable, shortest_over_arrivals, shortest_over_window, within_window
+from tramline.operators.routing import (
+    InvalidRequest, connections, departures_in, latest_equal_start, profile_connections, reachable, shortest_over_arrivals, shortest_over_window,
+    within_window,
+)
 
 from .networks import HOUR, MINUTE, PATHS, PAUSE, TOWN, clock, ends, moments, planner, random_town, slow_labels, stop_rows
 
@@ -92,17 +95,28 @@ def test_ways_are_whole_and_pareto(spark, wild):
     assert {q: sorted(v) for q, v in got.items()} == wanted
 
 
-def test_bounds(spark, town):
-    asked, source, goal = moments(spark, {"q": 8 * HOUR}), ends(spark, [("q", "gate")]), ends(spark, [("q", "beach")])
+def plain_ways(source, goal, at, rides=4, longest=None):
+    """(rides, arrival) of the plain search in the town, each arriving earlier than those of fewer rides."""
+    least, out = 10**9, []
+    for (k, stop), (kind, t) in sorted(slow_labels(stop_rows(), PATHS, {source: at}, rides, longest=longest).items()):
+        if stop == goal and kind != "START" and t < least:
+            out.append((k, clock(t)))
+            least = t
+    return out
+
+
+@pytest.mark.parametrize("pair", [("gate", "farm"), ("beach", "fort")])
+def test_bounds(spark, town, pair):
+    asked, source, goal = moments(spark, {"q": 8 * HOUR}), ends(spark, [("q", pair[0])]), ends(spark, [("q", pair[1])])
 
     def shapes(config):
-        return sorted((r["n_rides"], r["n_walks"], clock(r["arrival"])) for r in connections(town, asked, source, goal, config).collect())
+        return sorted((r["n_rides"], clock(r["arrival"])) for r in connections(town, asked, source, goal, config).collect())
 
     free = shapes(RouteConfig())
-    assert len(free) > 1
-    assert all(w == 0 for _, w, _ in shapes(RouteConfig(max_walk=2 * MINUTE)))
+    assert free == plain_ways(*pair, 8 * HOUR) and len(free) == 2
+    assert shapes(RouteConfig(max_walk=2 * MINUTE)) == plain_ways(*pair, 8 * HOUR, longest=2 * MINUTE)
     assert shapes(RouteConfig(max_transfers=1)) == [x for x in free if x[0] <= 2]
-    assert shapes(RouteConfig(max_transfers=0)) == []
+    assert shapes(RouteConfig(max_transfers=0)) == [x for x in free if x[0] <= 1]
     assert shapes(RouteConfig(max_travel=10 * MINUTE)) == []
 
 
@@ -173,6 +187,95 @@ def test_window_by_arrival_equals_a_search_every_minute(spark, wild):
     assert len(wanted) > 2 and {key(r) for r in found.collect()} == wanted
 
 
+def front(ways):
+    """(rides, departure, arrival) that no other one dominates."""
+    return sorted(
+        w for w in set(ways)
+        if not any(x != w and x[0] <= w[0] and x[1] >= w[1] and x[2] <= w[2] for x in ways)
+    )
+
+
+def test_profile_is_the_front_of_a_search_every_minute(spark, wild):
+    plan, rows, paths = wild
+    asked = {"a": (pair(rows), 7 * HOUR), "b": (("stop01", "stop05"), 6 * HOUR + 20 * MINUTE), "c": (("stop09", "stop02"), 8 * HOUR)}
+    window, config = 60 * MINUTE, RouteConfig(max_transfers=2)
+    found = profile_connections(
+        plan, moments(spark, {q: t for q, (_, t) in asked.items()}), ends(spark, [(q, a) for q, ((a, _), _) in asked.items()]),
+        ends(spark, [(q, b) for q, ((_, b), _) in asked.items()]), config, window,
+    )
+    assert broken_ways(found).count() == 0
+    got = {}
+    for r in found.collect():
+        got.setdefault(r["query_id"], []).append((r["round"], r["departure"], r["arrival"]))
+    for q, ((a, b), at) in asked.items():
+        every = []
+        for t in range(at, at + window, MINUTE):
+            for (k, stop), (kind, end) in slow_labels(rows, paths, {a: t}, 3).items():
+                if stop == b and kind != "START":
+                    every.append((k, t, end))
+        # of the last minute the plain search's ways may wait beyond the window
+        wanted = front(every)
+        last = [w for w in wanted if w[1] == at + window - MINUTE]
+        inside = [w for w in got.get(q, []) if w[1] < at + window - MINUTE and not any(x[0] <= w[0] and x[2] <= w[2] for x in last)]
+        assert sorted(inside) == [w for w in wanted if w not in last]
+    assert sum(map(len, got.values())) > 6
+
+
+def test_profile_by_arrival_is_the_mirror(spark, wild):
+    plan, rows, paths = wild
+    (a, b), by, window = pair(rows), 9 * HOUR, 60 * MINUTE
+    found = profile_connections(plan, moments(spark, {"q": by}), ends(spark, [("q", a)]), ends(spark, [("q", b)]), RouteConfig(max_transfers=2), window, backward=True)
+    turned = [(trip, line, stop, -dep, -arr) for trip, line, stop, arr, dep in reversed(rows)]
+    every = []
+    for t in range(by, by - window, -MINUTE):
+        for (k, stop), (kind, end) in slow_labels(turned, paths, {b: -t}, 3).items():
+            if stop == a and kind != "START":
+                every.append((k, -end, t))
+    got = {(r["round"], r["departure"]) for r in found.collect()}
+    assert len(got) > 2 and got == {(k, start) for k, start, end in front(every) if end > by - window + MINUTE} | {
+        (k, start) for k, start, end in front(every) if end == by - window + MINUTE and (k, start) in got
+    }
+
+
+def test_profile_labels_fall_with_the_window(spark, wild):
+    """Labels per departure get fewer as the window grows, where a search per departure has as many for each."""
+    plan, rows, _ = wild
+    per_departure = []
+    for window in (10 * MINUTE, 60 * MINUTE, 150 * MINUTE):
+        query, source = moments(spark, {"q": 6 * HOUR}), ends(spark, [("q", "stop03")])
+        at = departures_in(plan, query, source, window)
+        starts = source.join(at, "query_id").select("query_id", "date", "stop_id", "t", F.col("t").alias("moment"))
+        found = route(starts, plan.timetable(), RouteConfig(max_transfers=2), profile=True)
+        per_departure.append(found.labels.where("round > 0").count() / at.count())
+    assert per_departure[0] > per_departure[1] > 0.9 * per_departure[2]
+
+
+def test_mixed_dates_in_one_search(spark):
+    """A batch over dates equals a planner for each date; equal days share a timetable."""
+    rows = stop_rows({"day": (["w", "x", "y"], 0, 10, 60), "night": (["y", "z"], 5, 8, 60)}, (5, 26))
+    days = [dt.date(2025, 3, 5), dt.date(2025, 3, 6), dt.date(2025, 3, 29), dt.date(2025, 3, 30), dt.date(2025, 7, 1)]
+    plan = planner(spark, rows, {}, days=3, zone="Europe/Paris")
+    batch = type(plan)(plan.schedule, plan.network, days[0], 3, dates=tuple(days))
+    every = [(f"{d}-{h}", d, h * HOUR + 30 * MINUTE) for d in days for h in (0, 3, 12, 23)]
+    asked = spark.createDataFrame(every, "query_id string, date date, t long")
+    source, goal = ends(spark, [(q, "w") for q, _, _ in every]), ends(spark, [(q, "z") for q, _, _ in every])
+    config = RouteConfig(max_transfers=2)
+
+    def told(found):
+        return sorted((r["query_id"], r["round"], r["departure"], r["arrival"], str(r["legs"])) for r in found.collect())
+
+    wanted = []
+    for day in days:
+        own = asked.where(F.col("date") == F.lit(day)).drop("date")
+        wanted += told(connections(type(plan)(plan.schedule, plan.network, day, 3), own, source.join(own.select("query_id"), "query_id"), goal.join(own.select("query_id"), "query_id"), config))
+    assert told(connections(batch, asked, source, goal, config)) == sorted(wanted) and len(wanted) > 15
+    assert batch.timetable().times.select("day_class").distinct().count() == 2  # winter and summer time
+    later = type(plan)(plan.schedule, plan.network, dt.date(2025, 1, 20), 3, store=batch.store)
+    before = len(batch.store)
+    backdated = type(plan)(plan.schedule, plan.network, dt.date(2025, 3, 31), 3, store=batch.store)
+    assert backdated.timetable().times.count() == 2 * later.timetable().times.count() and len(batch.store) == before + 2
+
+
 def test_start_put_off(spark, town):
     asked, source, goal = moments(spark, {"q": 8 * HOUR}), ends(spark, [("q", "gate")]), ends(spark, [("q", "dock")])
     at_once = connections(town, asked, source, goal, RouteConfig(max_transfers=0)).collect()

@@ -49,7 +49,10 @@ class ServiceConfig:
 
 @dataclass(frozen=True)
 class QueryConfig:
-    """Bounds and filters of one query; None means no bound, no modes means all."""
+    """Bounds and filters of one query; None means no bound, no modes means all.
+
+    With profile, of a window only the ways that no other one dominates are answered.
+    """
 
     window: int = 0
     max_walk: int | None = None
@@ -59,6 +62,7 @@ class QueryConfig:
     wheelchair: bool = False
     bikes: bool = False
     modes: Sequence[str] = ()
+    profile: bool = False
 
     def __post_init__(self) -> None:
         bounds = [x for x in (self.max_walk, self.max_transfers, self.max_travel) if x is not None]
@@ -80,6 +84,8 @@ class TransitService:
     config: ServiceConfig = field(default_factory=ServiceConfig)
     network: Network = None
     _span: list = field(default_factory=list, repr=False)
+    _planners: dict = field(default_factory=dict, repr=False)
+    _store: dict = field(default_factory=dict, repr=False)
 
     def __post_init__(self) -> None:
         if self.network is None:
@@ -141,7 +147,8 @@ class TransitService:
         bounds = RouteConfig(query.max_transfers, query.min_transfer, query.max_walk, None, from_stop, to_stop)
         if arrive:
             bounds = RouteConfig(query.max_transfers, query.min_transfer, query.max_walk, None, to_stop, from_stop)
-        found = routing.within_window(plan, asked, sources, targets, bounds, query.window, arrive, query.max_travel)
+        search = routing.profile_connections if query.profile and query.window else routing.within_window
+        found = search(plan, asked, sources, targets, bounds, query.window, arrive, query.max_travel)
         return found.orderBy(F.desc("arrival") if arrive else F.asc("departure"))
 
     def isolines(self, source: Place, when: dt.datetime, query: QueryConfig | None = None, arrive: bool = False) -> DataFrame:
@@ -163,7 +170,15 @@ class TransitService:
         self._check_date(date)
         seconds = int((when - dt.datetime.combine(date, dt.time(), when.tzinfo)).total_seconds())
         asked = self.schedule.stops.sparkSession.createDataFrame([("q", seconds)], "query_id string, t long")
-        return Planner(self.schedule, self.network, date, self.config.days, query.filters()), asked
+        return self._planner(date, query), asked
+
+    def _planner(self, date: dt.date, query: QueryConfig, *dates: dt.date) -> Planner:
+        """One planner for the same dates and filters; all share what is written for days of one class."""
+        filters = query.filters()
+        key = (date, dates, *sorted((k, str(v)) for k, v in filters.items()))
+        if key not in self._planners:
+            self._planners[key] = Planner(self.schedule, self.network, date, self.config.days, filters, dates=dates, store=self._store)
+        return self._planners[key]
 
     def _check_date(self, date: dt.date) -> None:
         """Dates from the schedule's first to its last are valid, both included."""

@@ -34,3 +34,8 @@ def valid_coordinate(lat: Column, lon: Column) -> Column:
 
 def cell(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("long")
+
+
+def planar(x1: Column, y1: Column, x2: Column, y2: Column) -> Column:
+    """Distance of two points of a plane, in the unit of its axes."""
+    return F.sqrt(F.pow(x2 - x1, 2) + F.pow(y2 - y1, 2))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.geo import haversine, rounded
+from ..functions.times import DAY
 from ..sources.gtfs import Schedule
 from ..storage import materialize
+from .network import Timetable
 from .raptor import LEG, RIDE, WALK
 
 
@@ -30,22 +32,26 @@ def without_idle_start(ways: DataFrame) -> DataFrame:
     return ways.withColumn("idle", idle).withColumn("legs", F.transform("legs", moved)).drop("idle")
 
 
-def without_detour_walks(ways: DataFrame, times: DataFrame) -> DataFrame:
+def without_detour_walks(ways: DataFrame, table: Timetable) -> DataFrame:
     """Ride on, or board earlier, instead of walking, where the same trip serves the stop.
 
     A ride and the final walk become one ride if its trip reaches the walk's
     end no later than the walk; an initial walk and ride become one ride if
-    its trip leaves the walk's start no earlier than the walk.
+    its trip leaves the walk's start no earlier than the walk. ways has the
+    query's date.
     """
     keys = [c for c in ways.columns if c != "legs"]
-    ridden = ways.select(F.explode("legs").alias("leg")).select("leg.trip_id", "leg.service_date").distinct()
-    calls = times.select("trip_id", "service_date", "stop_id", "arr", "dep").join(ridden, ["trip_id", "service_date"], "left_semi")
-    calls = calls.groupBy("trip_id", "service_date", "stop_id").agg(F.min("arr").alias("arr"), F.min("dep").alias("dep"))
+    ridden = ways.select("date", F.explode("legs").alias("leg")).select("date", "leg.trip_id", "leg.service_date").distinct()
+    ridden = ridden.join(F.broadcast(table.calendar), "service_date")
+    calls = ridden.join(table.times.select("day_class", "trip_id", "stop_id", "arr", "dep"), ["day_class", "trip_id"])
+    shift = (F.date_diff("service_date", "date") * DAY).cast("long")
+    calls = calls.groupBy("date", "trip_id", "service_date", "stop_id").agg((F.min("arr") + shift).alias("arr"), (F.min("dep") + shift).alias("dep"))
     last, ride = F.element_at("legs", -1), F.get("legs", F.size("legs") - 2)
     called = calls.select(*[F.col(c).alias(f"x_{c}") for c in calls.columns])
 
     def met(ride: Column, stop: Column) -> Column:
-        return (F.col("x_trip_id") == ride["trip_id"]) & (F.col("x_service_date") == ride["service_date"]) & (F.col("x_stop_id") == stop)
+        same = (F.col("x_trip_id") == ride["trip_id"]) & (F.col("x_service_date") == ride["service_date"]) & (F.col("x_stop_id") == stop)
+        return same & (F.col("x_date") == F.col("date"))
 
     tail = ways.join(called, met(ride, last["to_stop"]), "left")
     joins = (last["kind"] == WALK) & (ride["kind"] == RIDE) & (F.col("x_arr") <= last["arr"]) & (F.col("x_arr") > ride["dep"])
@@ -140,7 +146,3 @@ def leg_details(ways: DataFrame, schedule: Schedule, keys: list[str]) -> DataFra
     distance = rounded(haversine(F.col("from_lat"), F.col("from_lon"), F.col("to_lat"), F.col("to_lon")))
     return named.withColumns({"route_id": F.when(F.col("kind") == WALK, walk).otherwise(F.col("route_id")), "distance": distance})
 
-
-def plain_legs(details: DataFrame) -> DataFrame:
-    """leg_details() without what only a detailed answer shows."""
-    return details.drop("trip_headsign", "agency_id", "route_long_name", "route_type")

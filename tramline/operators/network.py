@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -11,7 +12,7 @@ from ..functions.codes import MINIMUM_TIME
 from ..functions.times import DAY, day_offset
 from ..sources.gtfs import Schedule, ScheduleError, row_positions
 from ..storage import counted, materialize
-from .services import active_trips
+from .services import active_trips, date_literals, service_key
 
 SAME_STOP_SECONDS = 120
 
@@ -34,48 +35,79 @@ class Network:
 class Timetable:
     """What a search in one direction reads, written once for all its rounds and queries.
 
-    times is as dated_times() gives. places(stop_id, pattern_id, pos,
-    first_hour, last_hour) are where one can board. departures(pattern_id,
-    pos, hour, leaves, later) has a row for each hour from a place's first to
-    its last departure: leaves lists (at, trip) by time, where trip is the
-    first one, by day and order, that leaves then or afterwards, and later is
-    that of the hours after. stops(stop_id, same_stop, hops) lists the
-    footpaths from every stop as (to_stop, duration, same_stop).
+    Service days on which the same services run with the same zone offsets
+    have one day_class and share its rows; all tables but stops are stored by
+    it. Times are seconds from the service day's 00:00 UTC.
+
+    times is as class_times() gives. places(day_class, stop_id, pattern_id,
+    pos, first_hour, last_hour) are where one can board. departures(day_class,
+    pattern_id, pos, hour, leaves, later) has a row for each hour from a
+    place's first to its last departure: leaves lists (at, trip) by time,
+    where trip is the first one in order that leaves then or afterwards, and
+    later is that of the hours after. stops(stop_id, same_stop, hops) lists
+    the footpaths from every stop as (to_stop, duration, same_stop).
+
+    calendar(service_date, day_class) has the days that queries may scan, and
+    day_offsets those of a query, counted from its own date; sign is -1 if the
+    times are mirrored. date is that of queries that carry none.
     """
 
     times: DataFrame
     places: DataFrame
     departures: DataFrame
     stops: DataFrame
+    calendar: DataFrame
+    day_offsets: tuple[int, ...]
+    sign: int
+    date: dt.date
+
+    def on_days(self, rows: DataFrame, date: Column | str = "date") -> DataFrame:
+        """rows for each of the service days scanned for their date: day_idx, service_date, day_class and shift are added.
+
+        shift is what a time of the service day differs by on the axis of a
+        query, whose zero is its own date's 00:00 UTC.
+        """
+        each = rows.withColumn("day_idx", F.explode(F.array(*map(F.lit, self.day_offsets))))
+        each = each.withColumn("service_date", F.date_add(date, F.col("day_idx")))
+        met = each.join(F.broadcast(self.calendar), "service_date")  # a row for each scanned day, which the driver has listed
+        return met.withColumn("shift", (F.col("day_idx") * (self.sign * DAY)).cast("long"))
 
 
 HOUR = 3600
 
 
-def timetable(times: DataFrame, network: Network) -> Timetable:
-    """The timetable of written times."""
-    trip = F.struct("day_idx", "trip_ord", "trip_id", "service_date", "dep")
-    boarded = times.where("pos < n_stops - 1").select("stop_id", "pattern_id", "pos", F.col("dep").alias("at"), trip.alias("trip"))
-    onward = Window.partitionBy("pattern_id", "pos").orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
-    each = boarded.withColumn("trip", F.min("trip").over(onward)).dropDuplicates(["pattern_id", "pos", "at"])
-    hours = each.groupBy("pattern_id", "pos", "stop_id", F.floor(F.col("at") / HOUR).alias("hour")).agg(
+@dataclass(frozen=True)
+class ClassTables:
+    """The tables of a Timetable that don't depend on the dates asked for."""
+
+    times: DataFrame
+    places: DataFrame
+    departures: DataFrame
+    stops: DataFrame
+
+
+def class_tables(times: DataFrame, network: Network) -> ClassTables:
+    """The tables of written class_times(), written by day_class."""
+    trip = F.struct("trip_ord", "trip_id", "dep")
+    boarded = times.where("pos < n_stops - 1").select("day_class", "stop_id", "pattern_id", "pos", F.col("dep").alias("at"), trip.alias("trip"))
+    place = ["day_class", "pattern_id", "pos"]
+    onward = Window.partitionBy(*place).orderBy(F.desc("at")).rangeBetween(Window.unboundedPreceding, 0)
+    each = boarded.withColumn("trip", F.min("trip").over(onward)).dropDuplicates([*place, "at"])
+    hours = each.groupBy(*place, "stop_id", F.floor(F.col("at") / HOUR).alias("hour")).agg(
         F.sort_array(F.collect_list(F.struct("at", "trip"))).alias("leaves")
     )
-    after = Window.partitionBy("pattern_id", "pos").orderBy("hour")
+    after = Window.partitionBy(*place).orderBy("hour")
     linked = hours.withColumns({"next_hour": F.lead("hour").over(after), "later": F.lead("leaves").over(after)[0]["trip"]})
     # an hour without departures is a row that has later ones only
     filled = linked.withColumn("of", F.explode(F.sequence("hour", F.coalesce(F.col("next_hour") - 1, "hour"))))
-    departures = materialize(
-        filled.select(
-            "stop_id", "pattern_id", "pos", F.col("of").alias("hour"), F.when(F.col("of") == F.col("hour"), F.col("leaves")).alias("leaves"), "later"
-        ),
-        "departures",
-    )
-    places = departures.groupBy("stop_id", "pattern_id", "pos").agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
+    leaves = F.when(F.col("of") == F.col("hour"), F.col("leaves")).alias("leaves")
+    departures = materialize(filled.select("stop_id", *place, F.col("of").alias("hour"), leaves, "later"), "departures", "day_class")
+    places = departures.groupBy("stop_id", *place).agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"))
     to = network.net_stops.select(F.col("stop_id").alias("to_stop"), "same_stop")
     hops = network.footpaths.join(to, "to_stop").groupBy(F.col("from_stop").alias("stop_id"))
     hops = hops.agg(F.collect_list(F.struct("to_stop", "duration", "same_stop")).alias("hops"))
-    return Timetable(times, materialize(places, "places"), departures, materialize(network.net_stops.join(hops, "stop_id", "left"), "walks"))
+    walks = materialize(network.net_stops.join(hops, "stop_id", "left"), "walks")
+    return ClassTables(times, materialize(places, "places", "day_class"), departures, walks)
 
 
 def trip_patterns(schedule: Schedule) -> DataFrame:
@@ -172,22 +204,31 @@ def transfer_table(schedule: Schedule, served: DataFrame, *generated: DataFrame)
     )
 
 
-def dated_times(
-    schedule: Schedule, network: Network, dates: DataFrame, offset: Column | None = None, **filters: object
-) -> DataFrame:
-    """Trip times on the service days of dates(day_idx, date), in seconds from a reference day's 00:00 UTC.
+def day_classes(schedule: Schedule, dates: DataFrame, use_zones: bool = True) -> DataFrame:
+    """(date, day_class): dates on which the same services run, with the same offsets of all zones, have one class."""
+    zones = schedule.agency.select("agency_timezone").distinct()
+    asked = dates.select("date").distinct()
+    offset = day_offset(F.col("date"), F.col("agency_timezone")) if use_zones else F.lit(0)
+    each = zones.withColumn("date", F.explode(F.array(*date_literals(asked)))).select("date", F.concat_ws(" ", "agency_timezone", offset).alias("zone"))
+    offsets = each.groupBy("date").agg(F.array_join(F.sort_array(F.collect_set("zone")), ",").alias("offsets"))
+    key = F.md5(F.concat_ws("|", F.coalesce("services", F.lit("")), F.coalesce("offsets", F.lit(""))).cast("binary"))
+    met = asked.join(service_key(schedule, asked), "date", "left").join(offsets, "date", "left")
+    return met.select("date", key.alias("day_class"))
+
+
+def class_times(schedule: Schedule, network: Network, classes: DataFrame, use_zones: bool = True, **filters: object) -> DataFrame:
+    """Trip times of each class of classes(day_class, date), in seconds from 00:00 UTC of a service day.
 
-    offset is added to day_idx days: by default the service day's zero in the
-    zone of the route's agency. filters are those of active_trips().
+    date is any day of the class. Times are shifted by the service day's zero
+    in the zone of the route's agency. filters are those of active_trips().
     """
-    running = active_trips(schedule, dates, **filters).join(dates, "date")
+    running = active_trips(schedule, classes, **filters).join(classes, "date")
     zones = schedule.routes.join(schedule.agency, "agency_id").select("route_id", "agency_timezone")
     running = running.join(zones, "route_id")
-    shift = F.col("day_idx") * DAY + (day_offset(F.col("date"), F.col("agency_timezone")) if offset is None else offset)
-    moved = running.select("trip_id", "day_idx", F.col("date").alias("service_date"), shift.cast("long").alias("shift"))
+    shift = day_offset(F.col("date"), F.col("agency_timezone")) if use_zones else F.lit(0)
+    moved = running.select("trip_id", "day_class", shift.cast("long").alias("shift"))
     return network.trip_times.join(moved, "trip_id").select(
-        "day_idx",
-        "service_date",
+        "day_class",
         "pattern_id",
         "trip_id",
         "trip_ord",

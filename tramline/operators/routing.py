@@ -12,7 +12,7 @@ from ..sources.gtfs import Schedule
 from ..storage import materialize
 from . import raptor
 from .journeys import described, without_detour_walks, without_idle_start
-from .network import Network, Timetable, dated_times, timetable
+from .network import ClassTables, Network, Timetable, class_tables, class_times, day_classes
 from .raptor import RouteConfig
 from .stops import access_stops, ancestors
 
@@ -23,12 +23,14 @@ class InvalidRequest(ValueError):
 
 @dataclass(frozen=True)
 class Planner:
-    """A network on the service days around a reference date.
-
-    days counts scanned service days: 1 is the date itself, more start with
-    the day before. Times are seconds from the date's 00:00 UTC. What a search
-    reads is written at the first search in its direction and used by all
-    later ones.
+    """A network on the service days around reference dates.
+
+    date is that of queries without a column date; dates are those that
+    queries may carry besides. days counts scanned service days: 1 is a
+    query's date itself, more start with the day before. Times are seconds
+    from the query's own date's 00:00 UTC. What a search reads is written at
+    the first search in its direction and used by all later ones; days of one
+    class share it, and so do planners that share a store.
     """
 
     schedule: Schedule
@@ -37,26 +39,42 @@ class Planner:
     days: int = 1
     filters: dict | None = None
     use_zones: bool = True
+    dates: tuple[dt.date, ...] = ()
+    store: dict = field(default_factory=dict, compare=False, repr=False)
     _made: dict = field(default_factory=dict, compare=False, repr=False)
 
-    def times(self, backward: bool = False) -> DataFrame:
-        offsets = range(1) if self.days == 1 else range(-(self.days - 2), 1) if backward else range(-1, self.days - 1)
-        if offsets not in self._made:
-            spark = self.schedule.stops.sparkSession
-            dates = spark.createDataFrame([(i, self.date + dt.timedelta(days=i)) for i in offsets], "day_idx int, date date")
-            offset = None if self.use_zones else F.lit(0)
-            dated = dated_times(self.schedule, self.network, dates, offset, **(self.filters or {}))
-            self._made[offsets] = materialize(dated, "planner-times")
-        return self._made[offsets]
-
     def timetable(self, backward: bool = False) -> Timetable:
         """The timetable, mirrored for backward searches."""
         if backward not in self._made:
-            times, network = self.times(backward), self.network
+            offsets = range(1) if self.days == 1 else range(-(self.days - 2), 1) if backward else range(-1, self.days - 1)
+            spark = self.schedule.stops.sparkSession
+            scanned = sorted({d + dt.timedelta(days=i) for d in (self.date, *self.dates) for i in offsets})
+            asked = spark.createDataFrame([(d,) for d in scanned], "date date")
+            # a row for each scanned day, which are parameters of the searches
+            classes = {r["date"]: r["day_class"] for r in day_classes(self.schedule, asked, self.use_zones).collect()}
+            tables = self._tables(classes, backward)
+            calendar = spark.createDataFrame(sorted(classes.items()), "service_date date, day_class string")
+            sign = -1 if backward else 1
+            self._made[backward] = Timetable(
+                tables.times, tables.places, tables.departures, tables.stops, calendar, tuple(offsets), sign, self.date
+            )
+        return self._made[backward]
+
+    def _tables(self, classes: dict[dt.date, str], backward: bool) -> ClassTables:
+        """The stored tables of the classes, in this direction."""
+        first = {c: d for d, c in sorted(classes.items(), reverse=True)}
+        chosen = tuple(sorted((k, str(v)) for k, v in (self.filters or {}).items()))
+        key = (tuple(sorted(first)), chosen, self.use_zones)
+        if key not in self.store:
+            rows = self.schedule.stops.sparkSession.createDataFrame(sorted(first.items()), "day_class string, date date")
+            times = class_times(self.schedule, self.network, rows, self.use_zones, **(self.filters or {}))
+            self.store[key] = materialize(times, "class-times", "day_class")
+        if (key, backward) not in self.store:
+            times, network = self.store[key], self.network
             if backward:
                 times, network = raptor.mirrored(times, network)
-            self._made[backward] = timetable(times, network)
-        return self._made[backward]
+            self.store[key, backward] = class_tables(times, network)
+        return self.store[key, backward]
 
     def station_ends(self, asked: DataFrame) -> DataFrame:
         """(query_id, stop_id, walk 0): a stop and its direct children."""
@@ -82,21 +100,38 @@ def connections(
     """
     if _both(sources, targets):
         raise InvalidRequest("a stop is source and target of one query")
-    near, far = (targets, sources) if backward else (sources, targets)
-    found = raptor.route(_starts(queries, near, backward), planner.timetable(backward), config, far)
+    return _found(planner, _starts(queries, sources, targets, backward), sources, targets, config, backward)
+
+
+def _found(
+    planner: Planner,
+    starts: DataFrame,
+    sources: DataFrame,
+    targets: DataFrame,
+    config: RouteConfig,
+    backward: bool,
+    profile: bool = False,
+    until: DataFrame | None = None,
+) -> DataFrame:
+    """The finished ways of a search from starts, as of connections()."""
+    far = sources if backward else targets
+    found = raptor.route(starts, planner.timetable(backward), config, far, profile, until)
     best = raptor.whole_ways(raptor.pareto(found, far), found)
     if backward:
         best = raptor.unmirrored(best)
-    plain = materialize(best.select("query_id", "round", "legs"), "ways")
-    ways = without_idle_start(without_detour_walks(plain, planner.times(backward)))
-    return _with_walks(described(ways), sources, targets)
+    plain = materialize(best.select("query_id", "date", "round", "legs"), "ways")
+    ways = without_idle_start(without_detour_walks(plain, planner.timetable()))
+    return _with_walks(described(ways.drop("date")), sources, targets)
 
 
-def _starts(queries: DataFrame, near: DataFrame, backward: bool) -> DataFrame:
-    """(query_id, stop_id, t) on the axis of the search."""
-    axis = F.col("t") * (-1 if backward else 1)
-    asked = queries.select("query_id", axis.alias("t"))
-    return near.join(asked, "query_id").select("query_id", "stop_id", (F.col("t") + F.col("walk")).alias("t"))
+def _starts(queries: DataFrame, sources: DataFrame, targets: DataFrame | None, backward: bool) -> DataFrame:
+    """(query_id, stop_id, t), with date or moment if queries have them, on the axis of the search."""
+    sign = -1 if backward else 1
+    near = targets if backward else sources
+    more = [c for c in ("date", "moment") if c in queries.columns]
+    met = near.join(queries.select("query_id", "t", *more), "query_id")
+    out = met.withColumn("t", F.col("t") * sign + F.col("walk"))
+    return out.withColumn("moment", F.col("moment") * sign) if "moment" in more else out
 
 
 def _both(sources: DataFrame, targets: DataFrame) -> bool:
@@ -131,30 +166,33 @@ def within_window(
     Between two departures from a query's sources nothing changes, so every
     departure in the window is a query row of one search, whatever the length
     of the window. A window of 0 is the query's own time. Travel time is
-    bounded on the whole way, after the search. Equal ways count once.
+    bounded on the whole way, after the search. Equal ways count once. A way
+    may be dominated by one of another departure; profile_connections() leaves
+    such ways out and shares the work of all departures.
     """
     if window <= 0:
         found = connections(planner, queries, sources, targets, config, backward)
     else:
-        moments = arrivals_in(planner, queries, targets, window) if backward else departures_in(planner, queries, sources, window)
-        rows = _rows(moments)
-        ways = connections(planner, _named(rows), _spread(sources, rows), _spread(targets, rows), config, backward)
-        limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
-        dated = _asked(ways, limits, "t0")
-        edge = F.col("arrival") > F.col("t0") - window if backward else F.col("departure") < F.col("t0") + window
-        inside = dated.where(edge).drop("t0")
-        found = inside.groupBy(*[c for c in inside.columns if c != "round"]).agg(F.min("round").alias("round"))
+        rows = _rows(planner, queries, targets if backward else sources, window, backward)
+        ways = _asked(connections(planner, _named(rows), _spread(sources, rows), _spread(targets, rows), config, backward), rows)
+        found = _once_each(_inside(ways, queries, window, backward))
     return found if max_travel is None else found.where(F.col("seconds") <= max_travel)
 
 
-def _rows(moments: DataFrame) -> DataFrame:
-    """(row_id, asked, t): each moment of a query as a query of its own."""
-    rows = moments.select(F.concat_ws("@", "query_id", "t").alias("row_id"), F.col("query_id").alias("asked"), "t")
-    return materialize(rows, "moments")
+def _rows(planner: Planner, queries: DataFrame, near: DataFrame, window: int, backward: bool) -> DataFrame:
+    """(row_id, asked, date, t): each moment of a query's window as a query of its own, written."""
+    moments = arrivals_in(planner, queries, near, window) if backward else departures_in(planner, queries, near, window)
+    return materialize(moments.select(F.concat_ws("@", "query_id", "t").alias("row_id"), F.col("query_id").alias("asked"), "date", "t"), "moments")
 
 
 def _named(rows: DataFrame) -> DataFrame:
-    return rows.select(F.col("row_id").alias("query_id"), "t")
+    return rows.select(F.col("row_id").alias("query_id"), "date", "t")
+
+
+def _asked(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """What was found for rows, under the query they stand for."""
+    names = rows.select(F.col("row_id").alias("query_id"), "asked")
+    return found.join(names, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
 
 
 def _spread(ends: DataFrame, rows: DataFrame) -> DataFrame:
@@ -163,50 +201,118 @@ def _spread(ends: DataFrame, rows: DataFrame) -> DataFrame:
     return met.select(F.col("row_id").alias("query_id"), "stop_id", "walk")
 
 
-def _asked(found: DataFrame, rows: DataFrame, *more: str | Column) -> DataFrame:
-    """What was found for rows, under the query they stand for."""
-    names = rows.select(F.col("row_id").alias("query_id"), "asked", *more)
-    return found.join(names, "query_id").drop("query_id").withColumnRenamed("asked", "query_id")
+def _inside(ways: DataFrame, queries: DataFrame, window: int, backward: bool) -> DataFrame:
+    dated = ways.join(_first_times(queries), "query_id")
+    edge = F.col("arrival") > F.col("t0") - window if backward else F.col("departure") < F.col("t0") + window
+    return dated.where(edge).drop("t0")
+
+
+def _once_each(ways: DataFrame) -> DataFrame:
+    return ways.groupBy(*[c for c in ways.columns if c != "round"]).agg(F.min("round").alias("round"))
+
+
+def profile_connections(
+    planner: Planner,
+    queries: DataFrame,
+    sources: DataFrame,
+    targets: DataFrame,
+    config: RouteConfig,
+    window: int,
+    backward: bool = False,
+    max_travel: int | None = None,
+) -> DataFrame:
+    """The ways of a window that no other one dominates, by a profile search.
+
+    A way departs in [t, t + window), with backward arrives in (t - window, t].
+    It stays unless another one of as many or fewer rides departs no earlier
+    and arrives no later, and does one of the three better. Equal ways of
+    other legs count once, the one of the fewest rides and first legs. Queries
+    may have a column date. Returns the columns of connections().
+    """
+    if _both(sources, targets):
+        raise InvalidRequest("a stop is source and target of one query")
+    moments = _moments(planner, queries, targets if backward else sources, window, backward)
+    starts = _starts(moments, sources, targets, backward)
+    ways = _found(planner, starts, sources, targets, config, backward, True, _until(queries, window, backward))
+    ways = _inside(ways, queries, window, backward)
+    if max_travel is not None:
+        ways = ways.where(F.col("seconds") <= max_travel)
+    return undominated(ways)
+
+
+def undominated(ways: DataFrame) -> DataFrame:
+    """Ways (query_id, round, departure, arrival, legs) that no other one of their query dominates.
+
+    Sorted by falling departure, then arrival, rounds and legs, a way is
+    dominated if one before it, of as many rides or fewer, arrives as early.
+    """
+    rounds = [r["round"] for r in ways.select("round").distinct().collect()]  # as many as the search had rounds
+    before = Window.partitionBy("query_id").orderBy(F.desc("departure"), "arrival", "round", "legs").rowsBetween(Window.unboundedPreceding, -1)
+    least = [F.min(F.when(F.col("round") <= r, F.col("arrival"))).over(before) for r in range(max(rounds, default=0) + 1)]
+    met = ways.withColumn("least", F.get(F.array(*least), F.col("round")))
+    return met.where(F.col("least").isNull() | (F.col("arrival") < F.col("least"))).drop("least")
+
+
+def _moments(planner: Planner, queries: DataFrame, near: DataFrame, window: int, backward: bool) -> DataFrame:
+    """(query_id, date, t, moment): the times of a query's window that a profile search is for, written."""
+    found = arrivals_in(planner, queries, near, window) if backward else departures_in(planner, queries, near, window)
+    return materialize(found.withColumn("moment", F.col("t")), "moments")
+
+
+def _until(queries: DataFrame, window: int, backward: bool) -> DataFrame:
+    """(query_id, until): the end of each query's window on the axis of the search."""
+    return queries.select("query_id", ((-F.col("t") if backward else F.col("t")) + window).alias("until"))
+
+
+def _first_times(queries: DataFrame) -> DataFrame:
+    return queries.select("query_id", F.col("t").alias("t0"))
 
 
 def reachable(
     planner: Planner, queries: DataFrame, sources: DataFrame, config: RouteConfig, backward: bool = False
 ) -> DataFrame:
     """The best way from (with backward: to) the sources to every stop, per query."""
-    found = raptor.route(_starts(queries, sources, backward), planner.timetable(backward), config)
+    found = raptor.route(_starts(queries, sources, sources, backward), planner.timetable(backward), config)
     best = raptor.whole_ways(raptor.isolines(found), found)
     ways = raptor.unmirrored(best) if backward else best
     return described(without_idle_start(ways.select("query_id", "round", "stop_id", "legs")))
 
 
 def departures_in(planner: Planner, queries: DataFrame, sources: DataFrame, window: int) -> DataFrame:
-    """(query_id, t): each query's own time and every departure of its source stops in [t, t + window).
+    """(query_id, date, t): each query's own time and every departure of its source stops in [t, t + window).
 
     Rides that leave a source, or a stop within a walk of one, at such a time
     are the only ones that change the answer.
     """
-    times = planner.times()
+    table = planner.timetable()
     first = sources.select("query_id", "stop_id", "walk")
     paths = planner.network.footpaths.select(F.col("from_stop").alias("stop_id"), "to_stop", "duration")
     walked = first.join(paths, "stop_id").select("query_id", F.col("to_stop").alias("stop_id"), (F.col("walk") + F.col("duration")).alias("walk"))
-    leaves = first.unionByName(walked).join(times.where("pos < n_stops - 1").select("stop_id", "dep"), "stop_id")
-    asked = queries.select("query_id", "t")
-    at = leaves.join(asked, "query_id").withColumn("start", F.col("dep") - F.col("walk"))
+    asked = _dated(planner, queries)
+    places = table.on_days(first.unionByName(walked).join(asked, "query_id"))
+    leaves = places.join(table.times.where("pos < n_stops - 1").select("day_class", "stop_id", "dep"), ["day_class", "stop_id"])
+    at = leaves.withColumn("start", F.col("dep") + F.col("shift") - F.col("walk"))
     inside = at.where((F.col("start") >= F.col("t")) & (F.col("start") < F.col("t") + window))
-    return asked.unionByName(inside.select("query_id", F.col("start").alias("t"))).distinct()
+    return asked.unionByName(inside.select("query_id", "date", F.col("start").alias("t"))).distinct()
+
+
+def _dated(planner: Planner, queries: DataFrame) -> DataFrame:
+    """(query_id, date, t) with the planner's date where queries have none."""
+    date = F.col("date") if "date" in queries.columns else F.lit(planner.date).alias("date")
+    return queries.select("query_id", date, F.col("t").cast("long").alias("t"))
 
 
 def latest_equal_start(planner: Planner, queries: DataFrame, sources: DataFrame, targets: DataFrame, config: RouteConfig, window: int) -> DataFrame:
     """connections() of queries whose start may be put off by up to window seconds.
 
-    Every departure in the window is a query row; per query and number of
-    rides the earliest arrival counts, then the latest departure, and a way
-    stays if no way of fewer rides arrives as early.
+    Of all departures in the window, in one profile search, per query and
+    number of rides the earliest arrival counts, then the latest departure,
+    and a way stays if no way of fewer rides arrives as early.
     """
-    rows = _rows(departures_in(planner, queries, sources, window))
-    found = connections(planner, _named(rows), _spread(sources, rows), _spread(targets, rows), config)
+    moments = _moments(planner, queries, sources, window, False)
+    found = _found(planner, _starts(moments, sources, targets, False), sources, targets, config, False, profile=True)
     order = Window.partitionBy("query_id", "round").orderBy("arrival", F.desc("departure"), "legs")
-    best = _asked(found, rows).withColumn("nth", F.row_number().over(order)).where("nth = 1")
+    best = found.withColumn("nth", F.row_number().over(order)).where("nth = 1")
     before = F.min("arrival").over(Window.partitionBy("query_id").orderBy("round").rowsBetween(Window.unboundedPreceding, -1))
     kept = best.withColumn("before", before).where(F.col("before").isNull() | (F.col("arrival") < F.col("before")))
     return kept.drop("nth", "before")
@@ -218,9 +324,8 @@ def shortest_over_window(planner: Planner, queries: DataFrame, sources: DataFram
     Seconds count from the departure, walk to the first stop included; ties go
     to the earlier departure.
     """
-    rows = _rows(departures_in(planner, queries, sources, window))
-    limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
-    named = _asked(reachable(planner, _named(rows), _spread(sources, rows), config), limits, "t0")
+    rows = _rows(planner, queries, sources, window, False)
+    named = _asked(reachable(planner, _named(rows), _spread(sources, rows), config), rows).join(_first_times(queries), "query_id")
     walks = sources.groupBy("query_id", F.col("stop_id").alias("from_stop")).agg(F.min("walk").alias("walk_in"))
     begun = named.withColumn("from_stop", F.element_at("legs", 1)["from_stop"]).join(walks, ["query_id", "from_stop"])
     begun = begun.withColumn("departure", F.col("departure") - F.col("walk_in")).where(F.col("departure") < F.col("t0") + window)
@@ -228,19 +333,20 @@ def shortest_over_window(planner: Planner, queries: DataFrame, sources: DataFram
 
 
 def arrivals_in(planner: Planner, queries: DataFrame, targets: DataFrame, window: int) -> DataFrame:
-    """(query_id, t): each query's own time and every arrival at its target stops in (t - window, t].
+    """(query_id, date, t): each query's own time and every arrival at its target stops in (t - window, t].
 
     The mirror of departures_in().
     """
-    times = planner.times(backward=True)
+    table = planner.timetable(backward=True)
     last = targets.select("query_id", "stop_id", "walk")
     paths = planner.network.footpaths.select(F.col("to_stop").alias("stop_id"), "from_stop", "duration")
     walked = last.join(paths, "stop_id").select("query_id", F.col("from_stop").alias("stop_id"), (F.col("walk") + F.col("duration")).alias("walk"))
-    comes = last.unionByName(walked).join(times.where("pos > 0").select("stop_id", "arr"), "stop_id")
-    asked = queries.select("query_id", "t")
-    at = comes.join(asked, "query_id").withColumn("end", F.col("arr") + F.col("walk"))
+    asked = _dated(planner, queries)
+    places = table.on_days(last.unionByName(walked).join(asked, "query_id"))
+    comes = places.join(table.times.where("pos < n_stops - 1").select("day_class", "stop_id", "dep"), ["day_class", "stop_id"])
+    at = comes.withColumn("end", F.col("walk") - F.col("dep") - F.col("shift"))  # a mirrored departure is an arrival
     inside = at.where((F.col("end") <= F.col("t")) & (F.col("end") > F.col("t") - window))
-    return asked.unionByName(inside.select("query_id", F.col("end").alias("t"))).distinct()
+    return asked.unionByName(inside.select("query_id", "date", F.col("end").alias("t"))).distinct()
 
 
 def shortest_over_arrivals(planner: Planner, queries: DataFrame, targets: DataFrame, config: RouteConfig, window: int) -> DataFrame:
@@ -248,9 +354,8 @@ def shortest_over_arrivals(planner: Planner, queries: DataFrame, targets: DataFr
 
     Arrivals and seconds include the walk from the last stop; ties go to the later arrival.
     """
-    rows = _rows(arrivals_in(planner, queries, targets, window))
-    limits = rows.join(queries.select(F.col("query_id").alias("asked"), F.col("t").alias("t0")), "asked")
-    named = _asked(reachable(planner, _named(rows), _spread(targets, rows), config, backward=True), limits, "t0")
+    rows = _rows(planner, queries, targets, window, True)
+    named = _asked(reachable(planner, _named(rows), _spread(targets, rows), config, backward=True), rows).join(_first_times(queries), "query_id")
     walks = targets.groupBy("query_id", F.col("stop_id").alias("to_stop")).agg(F.min("walk").alias("walk_out"))
     ended = named.withColumn("to_stop", F.element_at("legs", -1)["to_stop"]).join(walks, ["query_id", "to_stop"])
     ended = ended.withColumn("arrival", F.col("arrival") + F.col("walk_out")).where(F.col("arrival") > F.col("t0") - window)

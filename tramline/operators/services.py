@@ -33,12 +33,12 @@ def active_services(schedule: Schedule, dates: DataFrame) -> DataFrame:
         schedule.calendar_dates.select("service_id").distinct(), "service_id", "full_outer"
     )
     exceptions = schedule.calendar_dates.select("service_id", "date", "exception_type")
-    each = known.select("*", F.explode(F.array(*_literals(days))).alias("date"))
+    each = known.select("*", F.explode(F.array(*date_literals(days))).alias("date"))
     judged = each.join(exceptions, ["service_id", "date"], "left")
     return judged.where(runs_on(F.col("date"), F.col("exception_type"))).select("date", "service_id")
 
 
-def _literals(days: DataFrame) -> list[Column]:
+def date_literals(days: DataFrame) -> list[Column]:
     """The asked dates as literals: parameters of a query, not data."""
     return [F.lit(r["date"]) for r in days.orderBy("date").collect()] or [F.lit(None).cast("date")]
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.geo import METRES_PER_DEGREE, cell, haversine, rounded, walk_seconds
+from ..functions.geo import METRES_PER_DEGREE, cell, haversine, planar, rounded, walk_seconds
 from ..storage import counted, materialize
 
 
@@ -69,6 +69,76 @@ def near_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     return met.withColumn("distance", distance).where(F.col("distance") <= radius)
 
 
+def planar_pairs(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
+    """Every left point of a plane with the right points at most radius away, and distance.
+
+    left has left_id, left_x, left_y; right has right_id, right_x, right_y.
+    Points meet by square cells as wide as the radius, a left point looking
+    into its own and the eight around it; the plane has no edges to wrap.
+    Points without both coordinates, or with one that isn't finite, meet none.
+    """
+    if radius <= 0:
+        raise ValueError("radius must be positive")
+
+    def finite(side: str) -> Column:
+        inside = [F.abs(F.col(f"{side}_{c}")) < float("inf") for c in "xy"]  # false for what isn't a number
+        return F.coalesce(inside[0] & inside[1], F.lit(False))
+
+    around = left.where(finite("left"))
+    for name, axis in (("column", "left_x"), ("row", "left_y")):
+        around = around.withColumn(name, F.explode(F.sequence(cell(F.col(axis), radius) - 1, cell(F.col(axis), radius) + 1)))
+    placed = right.where(finite("right")).withColumns({"column": cell(F.col("right_x"), radius), "row": cell(F.col("right_y"), radius)})
+    distance = planar(F.col("left_x"), F.col("left_y"), F.col("right_x"), F.col("right_y"))
+    met = around.join(placed, ["column", "row"]).drop("column", "row")
+    return met.withColumn("distance", distance).where(F.col("distance") <= radius)
+
+
+#: Degrees by which coordinates may differ and still count as equal, and the width of cells in which they are put in order.
+TOLERANCE, BAND_CELL = 1e-5, 0.01
+
+
+def banded_order(places: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
+    """places with lat_band and lon_band, an order of coordinates in which nearly equal ones tie.
+
+    places has lat and lon. Comparing within a tolerance is no order, as it
+    isn't transitive: of three points in a row the outer two may differ though
+    each equals the middle one. So equal latitudes are chained: sorted, a band
+    goes on while the next latitude is at most the tolerance greater, and
+    within a band longitudes are chained likewise. Bands are numbered from 0,
+    lon_band anew in each lat_band. Sorting by both gives the order; what
+    shares both is equal. Null coordinates have a null band, and so do those
+    that aren't numbers.
+
+    Chains are found in cells of BAND_CELL degrees and linked where the last
+    value of one cell and the first of the next lie together, so a task has a
+    cell's different values, and the list of cells (18,000 latitudes at most;
+    36,000 longitudes for a band) is numbered on its own.
+    """
+    usable = F.coalesce(~F.isnan("lat") & ~F.isnan("lon"), F.lit(False))
+    known = places.select("lat", "lon").where(usable).distinct()
+    lats = _chained(known.select("lat").distinct(), [], "lat", "lat_band", tolerance)
+    banded = known.join(lats, "lat")
+    lons = _chained(banded.select("lat_band", "lon").distinct(), ["lat_band"], "lon", "lon_band", tolerance)
+    every = banded.join(lons, ["lat_band", "lon"])
+    return places.join(every, ["lat", "lon"], "left").select(*places.columns, "lat_band", "lon_band")
+
+
+def _chained(values: DataFrame, keys: list[str], column: str, band: str, tolerance: float) -> DataFrame:
+    """values (keys and column, distinct) with the number of the chain within keys."""
+    placed = values.withColumn("cell", F.floor(F.col(column) / BAND_CELL))
+    inside = Window.partitionBy(*keys, "cell").orderBy(column)
+    starts = (F.col(column) - F.lag(column).over(inside) > tolerance).cast("long")
+    marked = placed.withColumn("starts", F.coalesce(starts, F.lit(0)))
+    nth = marked.withColumn("nth", F.sum("starts").over(inside))
+    cells = marked.groupBy(*keys, "cell").agg(F.min(column).alias("lo"), F.max(column).alias("hi"), F.sum("starts").alias("n"))
+    before = Window.partitionBy(*keys).orderBy("cell")
+    apart = (F.col("lo") - F.lag("hi").over(before) > tolerance).cast("long")
+    shifted = cells.withColumn("apart", F.coalesce(apart, F.lit(0)))
+    summed = shifted.withColumn("more", F.col("apart") + F.coalesce(F.lag("n").over(before), F.lit(0)))
+    bases = summed.withColumn("base", F.sum("more").over(before)).select(*keys, "cell", "base")
+    return nth.join(bases, [*keys, "cell"]).select(*keys, column, (F.col("base") + F.col("nth")).alias(band))
+
+
 def points(df: DataFrame, side: str, id_col: str = "stop_id", lat: str = "stop_lat", lon: str = "stop_lon") -> DataFrame:
     return df.select(F.col(id_col).alias(f"{side}_id"), F.col(lat).alias(f"{side}_lat"), F.col(lon).alias(f"{side}_lon"))
 

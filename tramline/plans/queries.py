@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,11 @@ EVENING = dt.datetime(2024, 1, 10, 9)
 ASKED = {1: ("s1", "s9", 6), 2: ("s3", "s8", 8), 3: ("s6", "s2", 10), 4: ("s7", "s10", 12)}
 #: Pairs of the benchmark sample.
 SAMPLE = 1000
+PROFILE_WINDOW = 3600
+#: Dates of the sample of mixed dates.
+DATES = [dt.date(2024, 1, 2) + dt.timedelta(days=5 * i) for i in range(20)]
+#: Seconds of access to a stop from a coordinate, and a stop to go to.
+ACCESS, GOAL = 15, "s9"
 LOCATIONS = [("near", 47.0101, 8.0021), ("between", 47.0149, 8.0049), ("far", 48.5, 9.5)]
 
 
@@ -283,6 +289,11 @@ def timing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark's table for SAMPLE pairs of served stops over the day, in one search."""
+    return _timed(spark, sf_dir, _sampled(spark, sf_dir))
+
+
+def _sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, a, b, t): SAMPLE pairs of served stops and times of the day."""
     served = planner_of(spark, sf_dir).network.net_stops.select("stop_id")
     n = served.count()
     nth = served.select("stop_id", (F.row_number().over(Window.orderBy("stop_id")) - 1).alias("nth"))
@@ -290,7 +301,7 @@ def route_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     x, y = i * 7919 % n, (i * 7919 + 1 + i * 104_729 % (n - 1)) % n
     pairs = spark.range(SAMPLE).select(i.cast("string").alias("query_id"), x.alias("x"), y.alias("y"), (i * 15_485_863 % 86_400).alias("t"))
     named = pairs.join(nth.select(F.col("stop_id").alias("a"), F.col("nth").alias("x")), "x").join(nth.select(F.col("stop_id").alias("b"), F.col("nth").alias("y")), "y")
-    return _timed(spark, sf_dir, named.select("query_id", "a", "b", "t"))
+    return named.select("query_id", "a", "b", "t")
 
 
 def _timed(spark: SparkSession, sf_dir: str, every: DataFrame) -> DataFrame:
@@ -326,6 +337,62 @@ def shortest_isolines_arrive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.shortest_over_arrivals(plan, later, targets, RouteConfig(max_transfers=1), 900).drop("legs")
 
 
+def profile_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways of an hour that no other one dominates, in one profile search."""
+    queries, sources, targets = asked(spark)
+    found = routing.profile_connections(planner_of(spark, sf_dir), queries, sources, targets, RouteConfig(max_transfers=1), PROFILE_WINDOW)
+    return found.select("query_id", "round", "departure", "arrival")
+
+
+def dated_planner(spark: SparkSession, sf_dir: str) -> routing.Planner:
+    """The network of planner_of() for questions on DATES, each scanning the day before and after."""
+    plan = planner_of(spark, sf_dir)
+    return replace(plan, days=3, dates=tuple(DATES), _made={})
+
+
+def dated_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, date, a, b, t): SAMPLE pairs of served stops, dealt over DATES."""
+    every = _sampled(spark, sf_dir)
+    day = F.get(F.array(*map(F.lit, DATES)), (F.col("query_id").cast("int") % len(DATES)))
+    return every.withColumn("date", day)
+
+
+def pareto_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrivals by number of rides for questions on many dates, over three service days each, in one search."""
+    every, plan = dated_sample(spark, sf_dir), dated_planner(spark, sf_dir)
+    targets = every.select("query_id", F.col("b").alias("stop_id"), F.lit(0).cast("long").alias("walk"))
+    found = raptor.route(every.select("query_id", "date", F.col("a").alias("stop_id"), "t"), plan.timetable(), RouteConfig(max_transfers=1), targets)
+    return raptor.pareto(found, targets).select("query_id", "date", "round", F.col("end_t").alias("t"))
+
+
+def day_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each day of the quarter the first one of its class, with which it shares a timetable."""
+    classes = network.day_classes(schedule_of(spark, sf_dir), dates(spark, dt.date(2024, 1, 1), 91))
+    first = classes.groupBy("day_class").agg(F.min("date").alias("first_date"))
+    return classes.join(first, "day_class").select("date", "first_date")
+
+
+def isolines_from_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best way from coordinates to every stop: walks to near stops, or to the nearest, come first."""
+    plan = planner_of(spark, sf_dir)
+    sources = plan.point_ends(locations(spark).withColumnRenamed("location_id", "query_id"), RADIUS, ACCESS, None)
+    queries = locations(spark).select(F.col("location_id").alias("query_id"), F.lit(8 * 3600).cast("long").alias("t"))
+    found = routing.reachable(plan, queries, sources, RouteConfig(max_transfers=1, walk_at_source=False))
+    return found.select("query_id", "stop_id", "round", F.col("arrival").alias("t"))
+
+
+def mile_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Legs from a coordinate to a stop, with the walk to the first stop as a leg."""
+    plan, asked_at = planner_of(spark, sf_dir), 8 * 3600
+    sources = plan.point_ends(locations(spark).withColumnRenamed("location_id", "query_id"), RADIUS, ACCESS, None)
+    queries = locations(spark).select(F.col("location_id").alias("query_id"), F.lit(asked_at).cast("long").alias("t"))
+    targets = queries.select("query_id", F.lit(GOAL).alias("stop_id"), F.lit(0).cast("long").alias("walk"))
+    ways = routing.connections(plan, queries, sources, targets, RouteConfig(max_transfers=1, walk_at_source=False))
+    return journeys.leg_rows(journeys.with_mile_legs(ways, 60), ["query_id", "round"]).select(
+        "query_id", "round", "nth", "kind", "trip_id", "from_stop", "to_stop", "dep", "arr"
+    )
+
+
 def queries() -> dict[str, Query]:
     own = [
         active_service_dates, active_trips, mode_filter, access_filter, bike_filter, validity, feature_flags, service_keys,
@@ -334,6 +401,6 @@ def queries() -> dict[str, Query]:
         search_relevance, nearest_stop, nearest_stops, access_stops, walk_transfers, stop_ancestors, stop_access, patterns,
         trip_order, trip_positions, connecting_hops, transfers_precedence, stop_times_json, stops_json, earliest_arrival_k1, isolines_k3,
         latest_departure_k2, pareto_k3, journey_legs, journey_counts, timing_table, route_sample, window_connections, range_k2, shortest_isolines,
-        shortest_isolines_arrive,
+        shortest_isolines_arrive, profile_connections, pareto_by_date, day_classes, isolines_from_points, mile_legs,
     ]
     return {f.__name__: f for f in own}

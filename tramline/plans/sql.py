@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.codes import EXTENDED, MODES
 from .bridge import DATE, SCHEDULE_SQL
-from .queries import ASKED, LOCATIONS, RADIUS, SAMPLE
+from .queries import ACCESS, ASKED, DATES, GOAL, LOCATIONS, PROFILE_WINDOW, RADIUS, SAMPLE
 
 
 def _with(extra: str, select: str) -> str:
@@ -105,12 +105,13 @@ def _moments(window: int, backward: bool, asked: str) -> str:
     asked AS (SELECT base.q || '@' || t1 AS q, base.q AS q0, a, b, t1 AS t, base.t AS t0 FROM moments JOIN base USING (q))"""
 
 
-def _rounds(rides: int, backward: bool, asked: str) -> str:
+def _rounds(rides: int, backward: bool, asked: str, starts: str = "") -> str:
     """CTEs down to labels(round, q, stop, kind, t, cmp, start, n, legs): one group of CTEs per round.
 
     Ties as in the search: less time, a ride, the later start, fewer legs, ids.
+    starts selects (q, stop, t) from which no walks are made, else a is the start.
     """
-    sign = "-" if backward else ""
+    sign, near = ("-", "b") if backward else ("", "a")
     times = "-f.dep AS arr, -f.arr AS dep, 5 - f.pos AS pos, -f.ord AS ord" if backward else "f.arr, f.dep, f.pos, f.ord"
     ends = ("to_stop", "from_stop") if backward else ("from_stop", "to_stop")
     parts = [
@@ -122,9 +123,9 @@ def _rounds(rides: int, backward: bool, asked: str) -> str:
         f"tt AS (SELECT f.p, f.trip_id, f.stop_id, {times} FROM fw f)",
         f"foot AS (SELECT {ends[0]} AS f, {ends[1]} AS g, duration FROM paths WHERE from_stop <> to_stop)",
         asked,
-        f"l0 AS (SELECT q, {'b' if backward else 'a'} AS stop, {sign}t AS t FROM asked WHERE {'b' if backward else 'a'} IN (FROM served))",
+        f"l0 AS ({starts or f'SELECT q, {near} AS stop, {sign}t AS t FROM asked WHERE {near} IN (FROM served)'})",
         f"""f0 AS (FROM (SELECT q, stop, 'START' AS kind, t, t AS cmp, t AS start, 0 AS n, {_NO_LEGS} AS legs, '' AS p, '' AS trip, '' AS a, '' AS b FROM l0
-          UNION ALL SELECT q, g, 'WALK', t + duration, t + duration - 120, t, 1, [{_WALK.format(a="stop", t="t")}], '', '', stop, '' FROM l0 JOIN foot ON stop = f)
+          UNION ALL SELECT q, g, 'WALK', t + duration, t + duration - 120, t, 1, [{_WALK.format(a="stop", t="t")}], '', '', stop, '' FROM l0 JOIN foot ON stop = f WHERE {not starts})
           QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, kind, start DESC, n, p, trip, a, b) = 1)""",
     ]
     for k in range(1, rides + 1):
@@ -219,7 +220,59 @@ _TIMES = """SELECT i AS id, a AS source_stop_id, b AS target_stop_id, s.stop_nam
   GROUP BY i, a, b, s.stop_name, d.stop_name, asked.t"""
 
 
+#: Stops to start from at the coordinates: within the radius, else the nearest.
+_ACCESS = f"""near AS (SELECT location_id, stop_id, floor(d * 1.3 / 1.4 + 0.5)::BIGINT + {ACCESS} AS walk
+  FROM (SELECT *, min(d) OVER (PARTITION BY location_id) AS least, row_number() OVER (PARTITION BY location_id ORDER BY d, stop_id) AS nth
+    FROM dist WHERE stop_id IN (SELECT stop_id FROM stop_times)) WHERE d <= {RADIUS} OR (least > {RADIUS} AND nth = 1)),
+  asked AS (SELECT location_id AS q, '{GOAL}' AS b, 28800::BIGINT AS t FROM places)"""
+_FROM_POINTS = "SELECT location_id AS q, stop_id AS stop, 28800::BIGINT + walk AS t FROM near"
+
+_UNDOMINATED = """SELECT DISTINCT q0 AS query_id, round, departure, arrival FROM hour w
+  WHERE NOT EXISTS (SELECT 1 FROM hour x WHERE x.q0 = w.q0 AND x.departure >= w.departure AND x.arrival <= w.arrival AND x.round <= w.round
+    AND (x.departure > w.departure OR x.arrival < w.arrival OR x.round < w.round))"""
+
+_DAYS = ", ".join(f"DATE '{d}'" for d in DATES)
+
+
+def _by_date(rides: int) -> str:
+    """SQL over questions on DATES: times count in seconds from 1970, and a question boards trips of its day and those beside it."""
+    parts = [
+        _transfers(None),
+        "days AS (SELECT date, (epoch(date::TIMESTAMP) // 86400)::BIGINT AS day FROM (SELECT DISTINCT date FROM active))",
+        f"{_SAMPLE.format(size=SAMPLE).replace('asked AS', 'sample AS')}",
+        f"asked AS (SELECT q, a, b, t, day, date, t + day * 86400 AS t0 FROM sample JOIN days ON date = ([{_DAYS}])[q::INTEGER % {len(DATES)} + 1])",
+        """zoned AS (SELECT route_id, date, day, (epoch(timezone(agency_timezone, date + INTERVAL 12 HOURS)) - 43200)::BIGINT AS zero
+          FROM routes JOIN agency USING (agency_id), days WHERE day IN (SELECT day + i FROM asked, range(-1, 2) r(i)))""",
+        """tt AS (SELECT o.pattern_id AS p, s.trip_id, z.day, s.stop_id, s.arrival + z.zero AS arr, s.departure + z.zero AS dep, s.pos, o.ord
+          FROM stop_times s JOIN zoned z USING (route_id) JOIN placed o USING (trip_id) JOIN active a ON a.service_id = s.service_id AND a.date = z.date)""",
+        "foot AS (SELECT from_stop AS f, to_stop AS g, duration FROM paths WHERE from_stop <> to_stop)",
+        """f0 AS (FROM (SELECT q, a AS stop, 'START' AS kind, t0 AS t, t0 AS cmp FROM asked WHERE a IN (FROM served)
+          UNION ALL SELECT q, g, 'WALK', t0 + duration, t0 + duration - 120 FROM asked JOIN foot ON a = f)
+          QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, kind) = 1)""",
+    ]
+    for k in range(1, rides + 1):
+        known = " UNION ALL ".join(f"SELECT q, stop, cmp FROM f{i}" for i in range(k))
+        parts += [
+            f"k{k} AS (SELECT q, stop, min(cmp) AS least FROM ({known}) GROUP BY ALL)",
+            f"""s{k} AS (SELECT f.q, d.p, d.pos, arg_min({{id: d.trip_id, day: d.day}}, d.day * 1000000 + d.ord) AS trip
+              FROM f{k - 1} f JOIN asked a USING (q) JOIN tt d ON d.stop_id = f.stop AND d.pos < 5 AND d.day BETWEEN a.day - 1 AND a.day + 1
+              AND d.dep >= f.t + CASE WHEN f.kind = 'RIDE' THEN 120 ELSE 0 END GROUP BY f.q, f.stop, d.p, d.pos)""",
+            f"""r{k} AS (SELECT s.q, d.stop_id AS stop, min(d.arr) AS t FROM s{k} s JOIN tt d ON d.trip_id = s.trip.id AND d.day = s.trip.day AND d.pos > s.pos GROUP BY ALL)""",
+            f"i{k} AS (SELECT r.* FROM r{k} r LEFT JOIN k{k} b USING (q, stop) WHERE least IS NULL OR t < least)",
+            f"""v{k} AS (SELECT q, stop, 'RIDE' AS kind, t, t AS cmp FROM i{k}
+              UNION ALL SELECT q, g, 'WALK', t + duration, t + duration - 120 FROM i{k} JOIN foot ON stop = f)""",
+            f"""f{k} AS (SELECT v.* FROM v{k} v LEFT JOIN k{k} b USING (q, stop) WHERE least IS NULL OR cmp < least
+              QUALIFY row_number() OVER (PARTITION BY q, stop ORDER BY cmp, kind) = 1)""",
+        ]
+    labels = " UNION ALL ".join(f"SELECT {k} AS round, q, stop, kind, t FROM f{k}" for k in range(rides + 1))
+    parts.append(f"ends AS (SELECT l.q, date, round, l.t - day * 86400 AS t FROM ({labels}) l JOIN asked a ON a.q = l.q AND a.b = l.stop WHERE kind <> 'START')")
+    parts.append("front AS (SELECT *, min(t) OVER (PARTITION BY q ORDER BY round ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM ends)")
+    return _with(", ".join(parts), "SELECT q AS query_id, date, round, t FROM front WHERE before IS NULL OR t < before")
+
+
 def oracle_sql() -> dict[str, str]:
+    points = f"{_PLACES}, {_DIST}, {_ACCESS}"
+    rounds = _rounds(2, False, points, _FROM_POINTS)
     return {
         "active_service_dates": _with("", "SELECT date, service_id FROM active WHERE date BETWEEN DATE '2024-01-01' AND DATE '2024-01-31'"),
         "active_trips": _with("", _RUNNING),
@@ -272,5 +325,18 @@ def oracle_sql() -> dict[str, str]:
             ", firsts_per_round AS (SELECT * FROM ways JOIN (SELECT q, q0 FROM asked) USING (q) QUALIFY row_number() OVER (PARTITION BY q0, round ORDER BY arrival, departure DESC, legs) = 1)",
         ),
         "shortest_isolines": _reached(2, False, _QUICKEST.format(edge="departure < t0 + 900", tie="departure"), _moments(900, False, _SIMPLE)),
+        "profile_connections": _connected(2, _UNDOMINATED, _moments(PROFILE_WINDOW, False, _SIMPLE), f", hour AS (SELECT ways.*, q0 FROM ways JOIN asked USING (q) WHERE departure < t0 + {PROFILE_WINDOW})"),
+        "pareto_by_date": _by_date(2),
+        "day_classes": _with("", """SELECT date, min(date) OVER (PARTITION BY services, zones) AS first_date FROM (
+            SELECT d.date, (SELECT string_agg(service_id, ',' ORDER BY service_id) FROM active a WHERE a.date = d.date) AS services,
+              (SELECT string_agg(z, ',' ORDER BY z) FROM (SELECT DISTINCT agency_timezone || ' ' || (epoch(timezone(agency_timezone, d.date + INTERVAL 12 HOURS)) - epoch(d.date::TIMESTAMP))::BIGINT AS z FROM agency)) AS zones
+            FROM (SELECT DATE '2024-01-01' + i::INTEGER AS date FROM range(91) r(i)) d)"""),
+        "isolines_from_points": _with(f"{rounds}, {_BEST_LABELS.format(legs='legs')}, {_IDLE.format(of='best')}", "SELECT q AS query_id, stop_id, round, arrival AS t FROM ways"),
+        "mile_legs": _with(
+            ", ".join([rounds, _FRONT.format(far="b"), _DETOURS.format(legs="legs"), _IDLE.format(of="heads")]) + """,
+            miles AS (SELECT ways.*, walk FROM ways JOIN near ON location_id = q AND near.stop_id = legs[1].from_stop),
+            shown AS (SELECT q, round, CASE WHEN walk > 60 THEN list_prepend({kind: 'WALK', pattern_id: NULL, trip_id: NULL, from_stop: NULL, to_stop: legs[1].from_stop, dep: legs[1].dep - walk, arr: legs[1].dep}, legs) ELSE legs END AS legs FROM miles)""",
+            "SELECT q AS query_id, round, (i - 1)::INTEGER AS nth, legs[i].kind AS kind, legs[i].trip_id AS trip_id, legs[i].from_stop AS from_stop, legs[i].to_stop AS to_stop, legs[i].dep AS dep, legs[i].arr AS arr FROM (SELECT *, unnest(range(1, len(legs) + 1)) AS i FROM shown)",
+        ),
         "shortest_isolines_arrive": _reached(2, True, _QUICKEST.format(edge="arrival > t0 - 900", tie="arrival DESC"), _moments(900, True, _LATER)),
     }

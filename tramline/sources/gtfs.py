@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import io
 import os
-import zipfile
 from dataclasses import dataclass, field, fields, replace
 from urllib.parse import urlparse
 
@@ -12,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.times import parse_service_time
-from ..storage import scratch_path
+from .feeds import Feed, feed_of
 
 DAYS = ("monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
 REQUIRED = ("agency", "stops", "routes", "trips", "stop_times")
@@ -75,29 +73,8 @@ def locate(uri: str, staging: str | None = None) -> str:
     raise ScheduleError(f"no way to read {uri}")
 
 
-def unzip(spark: SparkSession, archive: str) -> str:
-    """Extract the root-level tables of a zip file to a new shared folder and return it.
-
-    Executors read the archive and write the tables; names with a folder, or
-    leading out of it, are never extracted.
-    """
-    folder = scratch_path(spark, "feed")
-    wanted = {f"{name}.txt" for name in SCHEMAS}
-
-    def lines(content: bytes, name: str) -> list[str]:
-        with zipfile.ZipFile(io.BytesIO(content)) as packed:
-            return packed.read(name).decode("utf-8-sig").splitlines()
-
-    packed = spark.read.format("binaryFile").load(archive).select("content")
-    for row in packed.rdd.flatMap(lambda r: zipfile.ZipFile(io.BytesIO(r["content"])).namelist()).collect():
-        if row in wanted:
-            text = packed.rdd.flatMap(lambda r, name=row: [(line,) for line in lines(r["content"], name)])
-            spark.createDataFrame(text, "value string").write.text(f"{folder}/{row}")
-    return folder
-
-
-def read_schedule(spark: SparkSession, path: str) -> Schedule:
-    """Read a folder or zip file and check it.
+def read_schedule(spark: SparkSession, source: str | Feed) -> Schedule:
+    """Read a folder, a zip file or any other Feed and check it.
 
     agency, stops, routes, trips, stop_times and one of calendar and
     calendar_dates must be there and have rows. Trips, stop times and calendar
@@ -106,9 +83,8 @@ def read_schedule(spark: SparkSession, path: str) -> Schedule:
     Routes of unknown agencies, transfers of unknown stops, unknown parents
     and repeated keys are errors.
     """
-    if path.endswith(".zip"):
-        path = unzip(spark, path)
-    raw = {name: _csv(spark, f"{path}/{name}.txt") for name in SCHEMAS}
+    feed = feed_of(source)
+    raw = {name: _named(feed.table(spark, name)) for name in SCHEMAS}
     missing = [n for n in REQUIRED if raw[n] is None]
     if missing or all(raw[n] is None for n in ONE_OF):
         raise ScheduleError(f"missing tables: {', '.join(missing) or ' or '.join(ONE_OF)}")
@@ -119,12 +95,8 @@ def read_schedule(spark: SparkSession, path: str) -> Schedule:
     return validate(Schedule(**parsed))
 
 
-def _csv(spark: SparkSession, path: str) -> DataFrame | None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return None
-    df = spark.read.csv(path, header=True, ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, encoding="UTF-8")
-    return df.toDF(*[c.strip().lower().lstrip("\ufeff") for c in df.columns])
+def _named(df: DataFrame | None) -> DataFrame | None:
+    return None if df is None else df.toDF(*[c.strip().lower().lstrip("\ufeff") for c in df.columns])
 
 
 def _typed(df: DataFrame, name: str) -> DataFrame:

@@ -29,16 +29,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back."""
-    return counted(df, name)[0]
+def materialize(df: DataFrame, name: str, *by: str) -> DataFrame:
+    """Write df as Parquet into the shared folder, a folder for each value of the columns by, and read it back."""
+    return counted(df, name, *by)[0]
 
 
-def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+def counted(df: DataFrame, name: str, *by: str) -> tuple[DataFrame, int]:
     """materialize() and the number of rows, which is observed while they are written."""
     spark, seen = df.sparkSession, Observation()
     path = scratch_path(spark, name)
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
