@@ -174,3 +174,20 @@ def test_pieces_follow_the_lattice_weights():
     total = sum(weights.values())
     for s, w in weights.items():
         assert abs(seen[s] / n - w / total) < 0.02
+
+
+def test_apostrophes_beside_marks_as_the_library():
+    """Lower-casing may leave NFC: the words of such texts are composed anew by the library."""
+    from tokenizers import Tokenizer
+
+    model, own = Tokenizer.from_file(default_tokenizer()), TextEncoder(default_tokenizer())
+    rng = random.Random(14)
+    pools = [range(0x41, 0x7B), range(0xC0, 0x250), range(0x300, 0x370), range(0x370, 0x400), range(0x1F00, 0x2000), [0x345, 0x386, 0x1FBA, 0x3A3, 0x130]]
+    texts = ["'Άͅ", "Ὰͅ'"]
+    for _ in range(6000):
+        chars = [chr(rng.choice(rng.choice(pools))) for _ in range(rng.randint(1, 8))]
+        chars.insert(rng.randrange(len(chars) + 1), "'")
+        texts.append("".join(chars))
+    ids, cuts = own.encode(texts, None)
+    found = model.encode_batch_fast(texts, add_special_tokens=False)
+    assert [ids[i:j].tolist() for i, j in zip(cuts, cuts[1:], strict=False)] == [f.ids for f in found]

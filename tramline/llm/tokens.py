@@ -185,13 +185,14 @@ class TextEncoder:
         self._learn_kinds(chars)
         lasts = np.cumsum([len(t) + 1 for t in texts])
         odd = set(np.searchsorted(lasts, np.flatnonzero(self._kind[chars] == ODD), "right").tolist())
-        whole = {
+        # the library lower-cases every sigma alike, wherever it stands
+        lowered = [t.replace("Σ", "σ").lower() for t in texts]
+        whole = {  # parts of a text that lower-casing takes out of NFC would be composed anew by the library
             i: self._library(t)
             for i, t in enumerate(texts)
-            if i in odd or "<|" in t or not unicodedata.is_normalized("NFC", t)
+            if i in odd or "<|" in t or not (unicodedata.is_normalized("NFC", t) and unicodedata.is_normalized("NFC", lowered[i]))
         }
-        # the library lower-cases every sigma alike, wherever it stands
-        plain = ["" if i in whole else t.replace("Σ", "σ").lower() for i, t in enumerate(texts)]
+        plain = ["" if i in whole else t for i, t in enumerate(lowered)]
         ids, n = self._plain_ids(plain)
         if whole:
             cuts = np.concatenate(([0], np.cumsum(n)))
