@@ -109,6 +109,45 @@ def test_lookups(service):
     assert service.describe().first()["start_date"] == dt.date(2025, 1, 1)
 
 
+def test_planners_and_what_they_wrote_are_kept(service):
+    query = QueryConfig(window=10 * HOUR, profile=True)
+    first = service.connections("pier", "cape", DAY, query)
+    assert clocks(first) == ["07:00", "08:00", "09:00"]
+    planners, written = list(service._planners.values()), dict(service._store)
+    assert clocks(service.connections("pier", "cape", DAY, query)) == clocks(first)
+    # the next day is of the same class
+    assert clocks(service.connections("pier", "cape", DAY + dt.timedelta(days=1), query)) == clocks(first)
+    assert [p for p in service._planners.values() if p in planners] == planners and len(service._planners) == len(planners) + 1
+    assert service._store.keys() == written.keys() and all(service._store[k] is v for k, v in written.items())
+
+
+def test_a_batch_is_answered_and_refused(spark, service):
+    at, none = DAY + dt.timedelta(hours=7, minutes=30), (None, None, None)
+    rows = [
+        ("stops", "pier", None, None, "cape", None, None, DAY),
+        ("next day", "pier", None, None, "cape", None, None, at + dt.timedelta(days=1)),
+        ("point", None, 9.999, 20.0, "cape", None, None, DAY),
+        ("points", None, 9.999, 20.0, None, 10.301, 20.0, DAY),
+        ("station", "isle", None, None, "cape", None, None, at),
+        ("inside", "isle", None, None, "quay1", None, None, at),
+        ("lost", "nowhere", None, None, "cape", None, None, DAY),
+        ("none", *none, *none, DAY),
+        ("late", "pier", None, None, "cape", None, None, dt.datetime(2026, 1, 1)),
+    ]
+    asked = spark.createDataFrame(rows, "query_id string, from_stop string, from_lat double, from_lon double, to_stop string, to_lat double, to_lon double, at timestamp")
+    ways, refused = service.answer(asked)
+    found = {r["query_id"]: (r["date"], f"{r['departure'] // HOUR:02d}:{r['departure'] % HOUR // MINUTE:02d}") for r in ways.collect()}
+    assert found == {
+        "stops": (DAY.date(), "07:00"), "next day": (DAY.date() + dt.timedelta(days=1), "08:00"), "point": (DAY.date(), "06:58"),
+        "points": (DAY.date(), "06:58"), "station": (DAY.date(), "07:50"),
+    }
+    assert {r["query_id"]: r["reasons"] for r in refused.collect()} == {
+        "inside": ["same_stop"], "lost": ["from_unknown"], "none": ["from_missing", "to_missing"], "late": ["outside_validity"],
+    }
+    empty, nothing = service.answer(asked.limit(0))
+    assert empty.count() == 0 and nothing.count() == 0 and set(empty.columns) == set(ways.columns)
+
+
 @pytest.mark.parametrize("bad", [{"window": -1}, {"modes": ("ROCKET",)}, {"max_walk": -5}])
 def test_bad_queries(bad):
     with pytest.raises(InvalidRequest):

@@ -5,16 +5,18 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.codes import MODES
-from .operators import boards, routing, services, stops
+from .operators import boards, requests, routing, services, stops
 from .operators.network import Network, build_network
 from .operators.raptor import RouteConfig
 from .operators.routing import InvalidRequest, Planner
 from .sources.gtfs import Schedule
+from .storage import materialize
 
 
 class NotFound(LookupError):
@@ -165,6 +167,55 @@ class TransitService:
         named = found.join(self.schedule.stops.select("stop_id", "stop_name"), "stop_id")
         return named.orderBy(F.desc("departure") if arrive else F.asc("arrival"), "stop_name", "stop_id")
 
+    def answer(self, asked: DataFrame, query: QueryConfig | None = None, arrive: bool = False) -> tuple[DataFrame, DataFrame]:
+        """Ways for a batch of requests of any dates, and the requests that are refused, with reasons.
+
+        asked is as requests.judged() takes it, with at the instant to leave at
+        or to arrive by. A bad request doesn't fail the batch. Besides the
+        reasons there, a request is refused as same_stop if its places have a
+        stop in common. Ways are those of connections(), with query_id and
+        date, the day whose 00:00 UTC their seconds count from. Requests of all
+        dates go into one search for each kind of ends (stop or point).
+        """
+        query = query or QueryConfig()
+        self._check_span()
+        info = services.feature_flags(self.schedule).first()
+        judged = requests.judged(asked, self.schedule.stops, *self._span, {"wheelchair": info["has_accessibility"], "bikes": info["has_bikes"]})
+        good, refused = requests.split(judged)
+        good = materialize(good.withColumn("date", F.to_date("at")), "requests")
+        dates = sorted(r["date"] for r in good.select("date").distinct().collect())  # days of the schedule's validity at most
+        plan = self._planner(dates[0] if dates else self._span[0], query, *dates)
+        ends = {side: materialize(self._batch_ends(plan, good, side, query), "ends") for side in requests.SIDES}
+        shared = ends["from"].join(ends["to"].select("query_id", "stop_id"), ["query_id", "stop_id"]).select("query_id").distinct()
+        same = good.join(shared, "query_id", "left_semi").drop("date").withColumn("reasons", F.array(F.lit("same_stop")))
+        zero = F.unix_timestamp(F.col("date").cast("timestamp"))
+        times = good.join(shared, "query_id", "left_anti").select("query_id", "date", (F.unix_timestamp("at") - zero).alias("t"))
+        kinds = [ends[s].groupBy("query_id").agg(F.first("is_stop").alias(f"{s}_is_stop")) for s in requests.SIDES]
+        times = materialize(times.join(kinds[0], "query_id").join(kinds[1], "query_id"), "requests")
+        found = []
+        for a, b in ((True, True), (True, False), (False, True), (False, False)):
+            some = times.where((F.col("from_is_stop") == a) & (F.col("to_is_stop") == b))
+            near, far = (a, b) if not arrive else (b, a)
+            bounds = RouteConfig(query.max_transfers, query.min_transfer, query.max_walk, None, near, far)
+            sides = [ends[s].join(some.select("query_id"), "query_id", "left_semi").select("query_id", "stop_id", "walk") for s in requests.SIDES]
+            if not some.isEmpty():
+                found.append(routing.within_window(plan, some, *sides, bounds, query.window, arrive, query.max_travel))
+        none = routing.connections(plan, times.limit(0), *[e.limit(0).select("query_id", "stop_id", "walk") for e in ends.values()], RouteConfig(0))
+        ways = reduce(DataFrame.unionByName, found or [none])
+        return ways.join(times.select("query_id", "date"), "query_id"), refused.unionByName(same)
+
+    def _batch_ends(self, plan: Planner, good: DataFrame, side: str, query: QueryConfig) -> DataFrame:
+        """(query_id, stop_id, walk, is_stop) of one side of all requests; stops that nothing serves count as their coordinates."""
+        stop = F.col(f"{side}_stop")
+        named = good.where(stop.isNotNull()).select("query_id", stop.alias("asked"))
+        served = plan.station_ends(named).join(self.network.net_stops.select("stop_id"), "stop_id", "left_semi")
+        served = materialize(served.select("query_id", "stop_id", "walk", F.lit(True).alias("is_stop")), "ends")
+        places = self.schedule.stops.select(F.col("stop_id").alias("asked"), F.col("stop_lat").alias("lat"), F.col("stop_lon").alias("lon"))
+        lost = named.join(served, "query_id", "left_anti").join(places, "asked").select("query_id", "lat", "lon")
+        points = good.where(stop.isNull()).select("query_id", F.col(f"{side}_lat").alias("lat"), F.col(f"{side}_lon").alias("lon"))
+        near = plan.point_ends(points.unionByName(lost), self.config.walk_radius, self.config.access, query.max_walk)
+        return served.unionByName(near.withColumn("is_stop", F.lit(False)))
+
     def _plan(self, when: dt.datetime, query: QueryConfig) -> tuple[Planner, DataFrame]:
         date = when.date()
         self._check_date(date)
@@ -182,13 +233,16 @@ class TransitService:
 
     def _check_date(self, date: dt.date) -> None:
         """Dates from the schedule's first to its last are valid, both included."""
-        if not self._span:
-            row = services.validity(self.schedule).first()
-            self._span += [row["start_date"], row["end_date"]]
+        self._check_span()
         first, last = self._span
         if first is None or not first <= date <= last:
             raise InvalidRequest(f"{date} lies outside the schedule's validity, {first} to {last}")
 
+    def _check_span(self) -> None:
+        if not self._span:
+            row = services.validity(self.schedule).first()
+            self._span += [row["start_date"], row["end_date"]]
+
     def _ends(self, plan: Planner, place: Place, query: QueryConfig) -> tuple[DataFrame, bool]:
         """(query_id, stop_id, walk) and whether the place is a stop of the network."""
         if isinstance(place, str):
