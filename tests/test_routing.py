@@ -231,10 +231,11 @@ def test_profile_by_arrival_is_the_mirror(spark, wild):
         for (k, stop), (kind, end) in slow_labels(turned, paths, {b: -t}, 3).items():
             if stop == a and kind != "START":
                 every.append((k, -end, t))
-    got = {(r["round"], r["departure"]) for r in found.collect()}
-    assert len(got) > 2 and got == {(k, start) for k, start, end in front(every) if end > by - window + MINUTE} | {
-        (k, start) for k, start, end in front(every) if end == by - window + MINUTE and (k, start) in got
-    }
+    # at the first minute the plain search's ways may end before the window
+    got, wanted, edge = [(r["round"], r["departure"], r["arrival"]) for r in found.collect()], front(every), by - window + MINUTE
+    last = [w for w in wanted if w[2] == edge]
+    inside = [w for w in got if w[2] > edge and not any(x[0] <= w[0] and x[1] >= w[1] for x in last)]
+    assert len(inside) > 2 and sorted(inside) == [w for w in wanted if w not in last]
 
 
 def test_profile_labels_fall_with_the_window(spark, wild):
@@ -270,10 +271,11 @@ def test_mixed_dates_in_one_search(spark):
         wanted += told(connections(type(plan)(plan.schedule, plan.network, day, 3), own, source.join(own.select("query_id"), "query_id"), goal.join(own.select("query_id"), "query_id"), config))
     assert told(connections(batch, asked, source, goal, config)) == sorted(wanted) and len(wanted) > 15
     assert batch.timetable().times.select("day_class").distinct().count() == 2  # winter and summer time
-    later = type(plan)(plan.schedule, plan.network, dt.date(2025, 1, 20), 3, store=batch.store)
-    before = len(batch.store)
-    backdated = type(plan)(plan.schedule, plan.network, dt.date(2025, 3, 31), 3, store=batch.store)
-    assert backdated.timetable().times.count() == 2 * later.timetable().times.count() and len(batch.store) == before + 2
+    winter, again, summer = (type(plan)(plan.schedule, plan.network, dt.date(2025, *d), 3, store=batch.store) for d in ((1, 20), (2, 10), (3, 31)))
+    times = winter.timetable().times
+    assert times.count() == summer.timetable().times.count() == batch.timetable().times.count() / 2
+    written = len(batch.store)
+    assert again.timetable().times is times and len(batch.store) == written
 
 
 def test_start_put_off(spark, town):
