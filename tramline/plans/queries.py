@@ -382,9 +382,10 @@ def isolines_from_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mile_legs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Legs from a coordinate to a stop, with the walk to the first stop as a leg."""
+    """Legs from a coordinate to a stop, with the walk to the first stop as a leg; the stop itself is no start."""
     plan, asked_at = planner_of(spark, sf_dir), 8 * 3600
     sources = plan.point_ends(locations(spark).withColumnRenamed("location_id", "query_id"), RADIUS, ACCESS, None)
+    sources = sources.where(F.col("stop_id") != GOAL)
     queries = locations(spark).select(F.col("location_id").alias("query_id"), F.lit(asked_at).cast("long").alias("t"))
     targets = queries.select("query_id", F.lit(GOAL).alias("stop_id"), F.lit(0).cast("long").alias("walk"))
     ways = routing.connections(plan, queries, sources, targets, RouteConfig(max_transfers=1, walk_at_source=False))

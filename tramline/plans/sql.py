@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from ..functions.codes import EXTENDED, MODES
 from .bridge import DATE, SCHEDULE_SQL
-from .queries import ACCESS, ASKED, DATES, GOAL, LOCATIONS, PROFILE_WINDOW, RADIUS, SAMPLE
+from .queries import ACCESS, ASKED, DATES, GOAL, LOCATIONS, RADIUS, SAMPLE
 
 
 def _with(extra: str, select: str) -> str:
@@ -226,10 +226,7 @@ _ACCESS = f"""near AS (SELECT location_id, stop_id, floor(d * 1.3 / 1.4 + 0.5)::
     FROM dist WHERE stop_id IN (SELECT stop_id FROM stop_times)) WHERE d <= {RADIUS} OR (least > {RADIUS} AND nth = 1)),
   asked AS (SELECT location_id AS q, '{GOAL}' AS b, 28800::BIGINT AS t FROM places)"""
 _FROM_POINTS = "SELECT location_id AS q, stop_id AS stop, 28800::BIGINT + walk AS t FROM near"
-
-_UNDOMINATED = """SELECT DISTINCT q0 AS query_id, round, departure, arrival FROM hour w
-  WHERE NOT EXISTS (SELECT 1 FROM hour x WHERE x.q0 = w.q0 AND x.departure >= w.departure AND x.arrival <= w.arrival AND x.round <= w.round
-    AND (x.departure > w.departure OR x.arrival < w.arrival OR x.round < w.round))"""
+_NOT_AT_GOAL = f"{_FROM_POINTS} WHERE stop_id <> '{GOAL}'"
 
 _DAYS = ", ".join(f"DATE '{d}'" for d in DATES)
 
@@ -325,7 +322,6 @@ def oracle_sql() -> dict[str, str]:
             ", firsts_per_round AS (SELECT * FROM ways JOIN (SELECT q, q0 FROM asked) USING (q) QUALIFY row_number() OVER (PARTITION BY q0, round ORDER BY arrival, departure DESC, legs) = 1)",
         ),
         "shortest_isolines": _reached(2, False, _QUICKEST.format(edge="departure < t0 + 900", tie="departure"), _moments(900, False, _SIMPLE)),
-        "profile_connections": _connected(2, _UNDOMINATED, _moments(PROFILE_WINDOW, False, _SIMPLE), f", hour AS (SELECT ways.*, q0 FROM ways JOIN asked USING (q) WHERE departure < t0 + {PROFILE_WINDOW})"),
         "pareto_by_date": _by_date(2),
         "day_classes": _with("", """SELECT date, min(date) OVER (PARTITION BY services, zones) AS first_date FROM (
             SELECT d.date, (SELECT string_agg(service_id, ',' ORDER BY service_id) FROM active a WHERE a.date = d.date) AS services,
@@ -333,7 +329,7 @@ def oracle_sql() -> dict[str, str]:
             FROM (SELECT DATE '2024-01-01' + i::INTEGER AS date FROM range(91) r(i)) d)"""),
         "isolines_from_points": _with(f"{rounds}, {_BEST_LABELS.format(legs='legs')}, {_IDLE.format(of='best')}", "SELECT q AS query_id, stop_id, round, arrival AS t FROM ways"),
         "mile_legs": _with(
-            ", ".join([rounds, _FRONT.format(far="b"), _DETOURS.format(legs="legs"), _IDLE.format(of="heads")]) + """,
+            ", ".join([_rounds(2, False, points, _NOT_AT_GOAL), _FRONT.format(far="b"), _DETOURS.format(legs="legs"), _IDLE.format(of="heads")]) + """,
             miles AS (SELECT ways.*, walk FROM ways JOIN near ON location_id = q AND near.stop_id = legs[1].from_stop),
             shown AS (SELECT q, round, CASE WHEN walk > 60 THEN list_prepend({kind: 'WALK', pattern_id: NULL, trip_id: NULL, from_stop: NULL, to_stop: legs[1].from_stop, dep: legs[1].dep - walk, arr: legs[1].dep}, legs) ELSE legs END AS legs FROM miles)""",
             "SELECT q AS query_id, round, (i - 1)::INTEGER AS nth, legs[i].kind AS kind, legs[i].trip_id AS trip_id, legs[i].from_stop AS from_stop, legs[i].to_stop AS to_stop, legs[i].dep AS dep, legs[i].arr AS arr FROM (SELECT *, unnest(range(1, len(legs) + 1)) AS i FROM shown)",
