@@ -41,14 +41,15 @@ def by_hand(rows, strength=20.0):
     """{id: (posteriors, text posteriors)} by the formulas, one document after the other."""
     names, n = langid.LANGUAGES, len(langid.LANGUAGES)
     grams = {r[0]: np.bincount(langid.gram_buckets((r[1] or "").encode()), minlength=langid.GRAM_BUCKETS) for r in rows}
-    counts = np.full((n, langid.GRAM_BUCKETS), 0.5)
-    for i, _, declared, _, _ in rows:
-        if declared in names:
-            counts[names.index(declared)] += grams[i]
     ll = {}
     for i, *_ in rows:
-        total = grams[i].sum()
-        ll[i] = (np.log(counts / counts.sum(1, keepdims=True)) @ grams[i]) * (min(total, 100) / total if total else 0)
+        counts = np.zeros((n, langid.GRAM_BUCKETS))
+        for other, _, declared, _, _ in rows:
+            if declared in names and other != i:
+                counts[names.index(declared)] += grams[other]
+        met, total = counts.sum(1), grams[i].sum()
+        own = np.log((counts + 0.5) / (met[:, None] + 4096)) - np.log((counts.sum(0) + 0.5) / (met.sum() + 4096))
+        ll[i] = own @ grams[i] * met / (met + 4096) * (min(total, 100) / total if total else 0)
     soft = {i: np.array(softmax(list(v))) for i, v in ll.items()}
     sums = {k: defaultdict(lambda: np.zeros(n)) for k in ("told", "suffix", "domain", "host")}
     keys = {}
@@ -67,9 +68,10 @@ def by_hand(rows, strength=20.0):
         domain = (domain + strength * overall) / (domain.sum() + strength)
         host = sums["host"][k["host"]]
         host = (host + strength * domain) / (host.sum() + strength)
-        score = ll[i] + np.log((sums["told"][k["told"]] + 1) / (all_w + 10)) + np.log(host)
+        agreed = np.array([9.0 if k["told"] == name else 0.0 for name in names])
+        score = ll[i] + np.log((sums["told"][k["told"]] + agreed + 1) / (all_w + 19)) + np.log(host)
         if k["suffix"]:
-            score = score + np.log((sums["suffix"][k["suffix"]] + 1) / (all_w + 10))
+            score = score + np.log((sums["suffix"][k["suffix"]] + 1) / (all_w + 19))
         out[i] = (softmax(list(score)), list(soft[i]))
     return out
 
@@ -99,6 +101,17 @@ def test_evidence_corrects_what_the_text_tells(told):
     assert found[203]["language"] == "es"
 
 
+def test_a_declaration_teaches_nothing_about_its_own_text(spark):
+    """A German text that calls itself French, in words that no other text has, is read as German."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choices(TALK[x].split(), k=25)), x) for i, x in enumerate(["de", "fr", "en", "es"] * 20)]
+    rows.append((100, "zwölf boxkämpfer jagen viktor quer über den großen deich bei sylt", "fr"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r["doc_id"]: r for r in langid.identify(docs).collect()}
+    assert all(found[i]["text_language"] == x and found[i]["language"] == x for i, _, x in rows if i < 100)
+    assert found[100]["text_language"] == "de"
+
+
 def test_patterns_of_pages(spark, tmp_path):
     pages = [
         (1, "http://a.fr/x", f'<html lang="fr-CA"><head><style>p {{ the the the }}</style></head><body><p>{TALK["fr"] * 3}</p></body></html>'),

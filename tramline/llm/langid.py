@@ -13,6 +13,8 @@ from .common import materialize, utf8_values
 
 LANGUAGES = ("de", "en", "es", "fr")
 GRAM_BUCKETS = 8192
+#: Documents that each declaration counts as having met beforehand in its own language, and in any.
+AGREED, MET = 9, 1
 
 
 def gram_buckets(text: bytes) -> np.ndarray:
@@ -31,10 +33,8 @@ def gram_buckets(text: bytes) -> np.ndarray:
 _FOLD = bytes(c if c >= 128 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 
 
-def gram_model(
-    docs: DataFrame, text_col: str, declared_col: str, languages: Sequence[str] = LANGUAGES, smoothing: float = 0.5
-) -> np.ndarray:
-    """Log probabilities (language, bucket), counted over all declared texts.
+def gram_counts(docs: DataFrame, text_col: str, declared_col: str, languages: Sequence[str] = LANGUAGES) -> np.ndarray:
+    """Trigrams (language, bucket) of all declared texts.
 
     Counted per partition, then summed by a grouped aggregation; what reaches
     the driver is at most languages x GRAM_BUCKETS rows at any input size.
@@ -56,37 +56,64 @@ def gram_model(
         F.col("lang").isin(names)
     )
     sums = told.mapInArrow(run, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    counts = np.full((len(names), GRAM_BUCKETS), smoothing)
+    counts = np.zeros((len(names), GRAM_BUCKETS))
     for row in sums.toLocalIterator():
         counts[row["lang"], row["bucket"]] += row["n"]
-    return np.log(counts / counts.sum(1, keepdims=True))
+    return counts
 
 
 def text_evidence(
-    docs: DataFrame, text_col: str, model: np.ndarray, carried: dict[str, Column], grams: int = 100
+    docs: DataFrame,
+    text_col: str,
+    declared_col: str,
+    counts: np.ndarray,
+    carried: dict[str, Column],
+    languages: Sequence[str] = LANGUAGES,
+    grams: int = 100,
+    smoothing: float = 0.5,
 ) -> DataFrame:
-    """The carried columns and ll, an array of log likelihoods by language.
-
-    Neighbouring trigrams overlap, so a whole text's evidence counts as that
-    of at most grams independent ones. An empty or null text has all zeros.
+    """The carried columns and ll, an array of log likelihood ratios by language.
+
+    counts are gram_counts() of the same rows. A text's own trigrams are taken
+    off those of its declared language, so its declaration teaches nothing
+    about itself (copies of it still do). The ratio is to the trigrams of all
+    languages, and counts as far as a language has been met: of n trigrams of
+    other texts, n / (n + smoothing * GRAM_BUCKETS) of it. A language that no
+    other text declares is thus at 0. Neighbouring trigrams overlap, so a
+    whole text's evidence counts as that of at most grams independent ones.
+    An empty or null text has all zeros.
     """
     kinds = docs.select(*[c.alias(k) for k, c in carried.items()]).schema
-    names = list(carried)
-    table = np.ascontiguousarray(model.T)
+    carry, names = list(carried), list(languages)
+    made_up = smoothing * GRAM_BUCKETS
+    sums, every, every_sum = counts.sum(1), counts.sum(0), counts.sum()
+    table = np.log((counts + smoothing) / (sums[:, None] + made_up))
+
+    def likelihoods(text: bytes, declared: str | None) -> np.ndarray:
+        found, own = np.unique(gram_buckets(text), return_counts=True)
+        if not len(found):
+            return np.zeros(len(names))
+        total = int(own.sum())
+        logs, met, rest, all_met = table[:, found], sums.copy(), every[found], every_sum
+        if declared in names:
+            at = names.index(declared)
+            met[at] -= total
+            logs[at] = np.log((counts[at, found] - own + smoothing) / (met[at] + made_up))
+            rest, all_met = rest - own, all_met - total
+        ratio = (logs - np.log((rest + smoothing) / (all_met + made_up))) @ own
+        return ratio * (met / (met + made_up)) * (min(total, grams) / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.zeros((batch.num_rows, table.shape[1]))
-            for i, text in enumerate(utf8_values(batch.column(0))):
-                buckets = gram_buckets(text)
-                if len(buckets):
-                    counts = np.bincount(buckets, minlength=GRAM_BUCKETS)
-                    out[i] = counts @ table * (min(len(buckets), grams) / len(buckets))
-            at = pa.array(np.arange(0, out.size + 1, table.shape[1], dtype=np.int32))
+            told = batch.column(1).to_pylist()
+            rows = [likelihoods(t, d) for t, d in zip(utf8_values(batch.column(0)), told, strict=True)]
+            out = np.array(rows).reshape(-1, len(names))
+            at = pa.array(np.arange(0, out.size + 1, len(names), dtype=np.int32))
             lists = pa.ListArray.from_arrays(at, pa.array(out.ravel()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], lists], [*names, "ll"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], lists], [*carry, "ll"])
 
-    slim = docs.select(F.col(text_col).alias("text"), *[c.alias(k) for k, c in carried.items()])
+    own = [F.col(text_col).alias("text"), F.col(declared_col).cast("string").alias("declaration")]
+    slim = docs.select(*own, *[c.alias(k) for k, c in carried.items()])
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kinds.fields)
     return slim.mapInArrow(run, f"{fields}, ll array<double>")
 
@@ -104,8 +131,10 @@ def identify(
     """One row per input row: doc_id, language, posterior, text_language, declared, kept.
 
     Four sources are fused as independent evidence about the language:
-    the text's trigram likelihoods; the declared (markup) language, through
-    how often each declaration comes with each language; the address suffix,
+    the text's trigram likelihoods, learnt from what other texts declare, so
+    that a declaration doesn't count twice; the declared (markup) language,
+    through how often each declaration comes with each language, beside a
+    few made-up documents that declare their own language; the address suffix,
     the same way; and the host's prior, whose shares shrink with the given
     strength from host to registered domain to all documents. All tables come
     from grouped aggregations over all documents, weighting each by its
@@ -126,7 +155,7 @@ def identify(
         declared.alias("declared"),
         F.when(host != "", host).alias("host"),
     )
-    model = gram_model(frame, "text", "declared", names)
+    counts = gram_counts(frame, "text", "declared", names)
     told = F.when(F.col("declared").isin(names), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("?"))
     dotted = F.col("host").contains(".")
     carried = {
@@ -137,7 +166,7 @@ def identify(
         "domain": F.coalesce(F.substring_index("host", ".", -2), F.lit("")),
         "suffix": F.coalesce(F.when(dotted, F.substring_index("host", ".", -1)), F.lit("")),
     }
-    seen = materialize(text_evidence(frame, "text", model, carried), "langid-text")
+    seen = materialize(text_evidence(frame, "text", "declared", counts, carried, names), "langid-text")
     soft = _posterior(F.col("ll"))
     weights = [F.sum(soft[i]).alias(f"w{i}") for i in range(len(names))]
     w = F.array(*[F.col(f"w{i}") for i in range(len(names))])
@@ -148,8 +177,11 @@ def identify(
     total = grouped.agg(*again).first()
     all_w = [float(x or 0) for x in total]
     overall = [(x + 1) / (sum(all_w) + len(names)) for x in all_w]
-    by_told = _likelihoods(grouped.groupBy("told").agg(*again).select("told", w.alias("w")), all_w, "told_ll")
-    by_suffix = _likelihoods(grouped.groupBy("suffix").agg(*again).select("suffix", w.alias("w")), all_w, "suffix_ll")
+    agreed = F.array(*[F.when(F.col("told") == x, float(AGREED)).otherwise(0.0) for x in names])
+    told_w = grouped.groupBy("told").agg(*again).select("told", w.alias("w"), agreed.alias("before"))
+    by_told = _likelihoods(told_w, all_w, "told_ll")
+    suffix_w = grouped.groupBy("suffix").agg(*again).select("suffix", w.alias("w"), F.array_repeat(F.lit(0.0), len(names)).alias("before"))
+    by_suffix = _likelihoods(suffix_w, all_w, "suffix_ll")
     prior = F.array(*[F.lit(x) for x in overall])
     domains = grouped.groupBy("domain").agg(*again).select(
         "domain", _shares(w, prior, strength).alias("domain_share")
@@ -202,6 +234,6 @@ def _shares(w: Column, parent: Column, strength: float) -> Column:
 
 def _likelihoods(table: DataFrame, all_w: list[float], name: str) -> DataFrame:
     """How probable a kind of evidence is under each language, as logs."""
-    totals = F.array(*[F.lit(x) for x in all_w])
-    logs = F.zip_with("w", totals, lambda x, t: F.log((x + 1) / (t + 10)))
-    return table.withColumn(name, logs).drop("w")
+    met = F.zip_with("w", "before", lambda x, more: x + more + MET)
+    totals = F.array(*[F.lit(x + AGREED + 10 * MET) for x in all_w])
+    return table.withColumn(name, F.zip_with(met, totals, lambda x, t: F.log(x / t))).drop("w", "before")
