@@ -125,6 +125,22 @@ def test_token_store(spark, rows, wanted, tmp_path):
     assert {r["doc_id"]: r["ids"] for r in some} == {i: wanted[i] for i in (3, 1005)}
 
 
+def test_readers_skip_what_indexes_and_bloom_filters_rule_out(spark, tmp_path):
+    docs = spark.range(0, 12_000, 2).selectExpr("id AS doc_id", "concat('text ', id) AS text").coalesce(1)
+    path = str(tmp_path / "store")
+    write_store(encode_documents(docs, default_tokenizer(), rows_per_file=6000), path)
+
+    def read(wanted):
+        found = read_documents(spark, path, wanted)
+        rows = found.collect()
+        scan = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return [r["doc_id"] for r in rows], scan.metrics().apply("numOutputRows").value()
+
+    assert read([7000]) == ([7000], 1000)  # one row group of six
+    assert read([7001]) == ([], 0)  # within the range of a group, but not in its Bloom filter
+    assert read([2, 11_998])[1] == 2000
+
+
 def test_token_store_odd_rows(spark, tmp_path):
     for name, rows in (("odd", ODD), ("none", [])):
         path = str(tmp_path / name)
