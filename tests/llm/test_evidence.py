@@ -43,13 +43,12 @@ def by_hand(rows, strength=20.0):
     grams = {r[0]: np.bincount(langid.gram_buckets((r[1] or "").encode()), minlength=langid.GRAM_BUCKETS) for r in rows}
     ll = {}
     for i, *_ in rows:
-        counts = np.zeros((n, langid.GRAM_BUCKETS))
+        counts, total = np.full((n, langid.GRAM_BUCKETS), 0.5), grams[i].sum()
         for other, _, declared, _, _ in rows:
-            if declared in names and other != i:
-                counts[names.index(declared)] += grams[other]
-        met, total = counts.sum(1), grams[i].sum()
-        own = np.log((counts + 0.5) / (met[:, None] + 4096)) - np.log((counts.sum(0) + 0.5) / (met.sum() + 4096))
-        ll[i] = own @ grams[i] * met / (met + 4096) * (min(total, 100) / total if total else 0)
+            if declared in names:
+                met = sum(grams[j].sum() for j, _, d, _, _ in rows if d == declared and j != i)
+                counts[names.index(declared)] += grams[other] * (1 - met / (met + 100) if other == i else 1)
+        ll[i] = np.log(counts / counts.sum(1, keepdims=True)) @ grams[i] * (min(total, 100) / total if total else 0)
     soft = {i: np.array(softmax(list(v))) for i, v in ll.items()}
     sums = {k: defaultdict(lambda: np.zeros(n)) for k in ("told", "suffix", "domain", "host")}
     keys = {}

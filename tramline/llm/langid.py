@@ -72,36 +72,34 @@ def text_evidence(
     grams: int = 100,
     smoothing: float = 0.5,
 ) -> DataFrame:
-    """The carried columns and ll, an array of log likelihood ratios by language.
-
-    counts are gram_counts() of the same rows. A text's own trigrams are taken
-    off those of its declared language, so its declaration teaches nothing
-    about itself (copies of it still do). The ratio is to the trigrams of all
-    languages, and counts as far as a language has been met: of n trigrams of
-    other texts, n / (n + smoothing * GRAM_BUCKETS) of it. A language that no
-    other text declares is thus at 0. Neighbouring trigrams overlap, so a
+    """The carried columns and ll, an array of log likelihoods by language.
+
+    counts are gram_counts() of the same rows. Of a text's own trigrams the
+    share n / (n + grams) is taken off those of its declared language, where n
+    are that language's trigrams in other rows: beside others, a declaration
+    teaches next to nothing about its own text (copies of it still do), and
+    the only text of a language still tells of it. Neighbouring trigrams overlap, so a
     whole text's evidence counts as that of at most grams independent ones.
     An empty or null text has all zeros.
     """
     kinds = docs.select(*[c.alias(k) for k, c in carried.items()]).schema
     carry, names = list(carried), list(languages)
-    made_up = smoothing * GRAM_BUCKETS
-    sums, every, every_sum = counts.sum(1), counts.sum(0), counts.sum()
-    table = np.log((counts + smoothing) / (sums[:, None] + made_up))
+    seen = counts + smoothing
+    sums = seen.sum(1)
+    table = np.log(seen / sums[:, None])
 
     def likelihoods(text: bytes, declared: str | None) -> np.ndarray:
         found, own = np.unique(gram_buckets(text), return_counts=True)
         if not len(found):
             return np.zeros(len(names))
         total = int(own.sum())
-        logs, met, rest, all_met = table[:, found], sums.copy(), every[found], every_sum
+        logs = table[:, found]
         if declared in names:
             at = names.index(declared)
-            met[at] -= total
-            logs[at] = np.log((counts[at, found] - own + smoothing) / (met[at] + made_up))
-            rest, all_met = rest - own, all_met - total
-        ratio = (logs - np.log((rest + smoothing) / (all_met + made_up))) @ own
-        return ratio * (met / (met + made_up)) * (min(total, grams) / total)
+            others = counts[at].sum() - total
+            share = others / (others + grams)
+            logs[at] = np.log((seen[at, found] - share * own) / (sums[at] - share * total))
+        return logs @ own * (min(total, grams) / total)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
