@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tramline.llm.components import connected_components
+from tramline.llm.components import connected_components, extended_components
 from tramline.llm.simhash import fingerprint, near_duplicates, near_links, spanning_links
 
 from .samples import DOCS, ODD, documents
@@ -88,3 +88,18 @@ def test_components_of_a_long_path_and_a_star(spark):
     assert len(found) == 301 + 300
     assert len({found[i] for i in range(301)}) == 1
     assert len({found[i] for i in range(1000, 1300)}) == 1
+
+
+def test_components_extended_by_further_links(spark):
+    rng = random.Random(5)
+    for first, more in ((0, 30), (30, 0), (40, 1), (25, 40)):
+        rounds = [[(rng.randrange(80), rng.randrange(80)) for _ in range(n)] for n in (first, more, more)]
+        labels = None
+        for edges in rounds:
+            labels = extended_components(labels, spark.createDataFrame(edges, "a long, b long"))
+        got = {r["node"]: r["root"] for r in labels.collect()}
+        whole = connected_components(spark.createDataFrame(sum(rounds, []), "a long, b long")).collect()
+        assert labels.count() == len(got) and set(got) == {r["node"] for r in whole}
+        named = {(r["root"], got[r["node"]]) for r in whole}
+        assert len(named) == len({a for a, _ in named}) == len({b for _, b in named})
+        assert all(got[r] == r for r in got.values())

@@ -49,6 +49,25 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return materialize(labels, "cc-labels")
 
 
+def extended_components(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """connected_components() of the edges that labels (node, root) come from and of further ones.
+
+    Only the further edges, between the components so far, are contracted;
+    labels None stands for no edges.
+    """
+    if labels is None:
+        return connected_components(edges)
+    to_a = labels.select(F.col("node").alias("a"), F.col("root").alias("ra"))
+    to_b = labels.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+    between = edges.join(to_a, "a", "left").join(to_b, "b", "left").select(
+        F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")
+    )
+    onward = connected_components(between)
+    moved = labels.join(onward.select(F.col("node").alias("root"), F.col("root").alias("parent")), "root", "left")
+    added = onward.join(labels.select("node"), "node", "left_anti")
+    return materialize(moved.select("node", F.coalesce("parent", "root").alias("root")).unionByName(added), "cc-labels")
+
+
 def _rank(name: str, seed: int) -> Column:
     return F.struct(F.xxhash64(F.col(name), F.lit(seed)).alias("h"), F.col(name).alias("id"))
 
