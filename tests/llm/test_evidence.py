@@ -2,6 +2,7 @@
 
 import math
 import random
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -148,3 +149,25 @@ def test_rows_that_repeat_an_id_are_fitted_once(spark):
     marks = spark.createDataFrame([(r[0], r[2]) for r in rows] * 3, "doc_id long, quality int")
     once = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
     assert quality_rank.fit(docs, marks) == quality_rank.fit(once, marks.distinct())
+
+
+def test_fit_on_tables_counts_all_rows(spark):
+    """More labelled rows than the earlier bound of 20,000; the last ones by the earlier order, few and different, count too."""
+    rng = random.Random(4)
+    n = 26_000
+    texts = [" ".join(rng.choices(["plain", "words", "of", "Text", "%%", "12"], k=rng.randint(3, 9))) for _ in range(n)]
+    rows = [(i, t, int("%%" not in t)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    marks = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    found = quality_rank.fit(docs, marks)
+    kept = [r for r in rows if zlib.crc32(str(r[0]).encode()) % 5]
+    assert len(kept) > 20_000
+    x = np.array([quality_rank.features(t.encode()) for _, t, _ in kept])
+    good = np.array([q for *_, q in kept]) == 1
+    assert np.allclose(found.centre, x.mean(0), atol=1e-9)
+    local = fit_pairs(x[good], x[~good])
+    assert np.allclose(found.weights, local.weights, rtol=1e-3, atol=1e-3)
+    u = np.sort(found.utility(x))
+    at = int((~good).sum())
+    assert found.cut == (u[at - 1] + u[at]) / 2
+    assert np.isclose(found.slope, 4 / (np.quantile(u, 0.75) - np.quantile(u, 0.25)))
