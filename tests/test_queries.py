@@ -8,6 +8,7 @@ import pytest
 import __spark_entry__
 from tramline.plans import more_queries, more_sql, sql
 from tramline.plans import queries as transit
+from tramline.plans import queries as plan
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem")
@@ -40,3 +41,12 @@ def test_query_equals_sql(spark, duck, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_walks_of_unserved_stops_are_not_made(spark, monkeypatch):
+    """transfers_precedence pairs served stops only: the pairs of all stops grow as their square."""
+    seen, made = [], plan.stops.walk_transfers
+    monkeypatch.setattr(plan.stops, "walk_transfers", lambda found, radius: seen.append(found.count()) or made(found, radius))
+    plan.transfers_precedence(spark, "/root/testdata/sf0.1")
+    served = plan.schedule_of(spark, "/root/testdata/sf0.1").stop_times.select("stop_id").distinct().count()
+    assert seen == [served] and served < 1000
