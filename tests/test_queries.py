@@ -50,3 +50,8 @@ def test_walks_of_unserved_stops_are_not_made(spark, monkeypatch):
     plan.transfers_precedence(spark, "/root/testdata/sf0.1")
     served = plan.schedule_of(spark, "/root/testdata/sf0.1").stop_times.select("stop_id").distinct().count()
     assert seen == [served] and served < 1000
+
+
+def test_hops_sort_the_stop_times_once(spark):
+    found = plan.connecting_hops(spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1
