@@ -332,3 +332,21 @@ def test_bad_networks(spark):
     empty = type(good.schedule)(**{**good.schedule.tables(), "stop_times": good.schedule.stop_times.limit(0)})
     with pytest.raises(ScheduleError):
         build_network(empty)
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_trips_at_the_times_of_others_do_not_grow_the_timetable(spark, backward):
+    """Of trips of a service that leave a place at one time only the first is ever boarded, so the rest isn't stored for searches."""
+    rows = stop_rows(hours=(6, 9))
+    copies = [(f"{trip}-{x}", *rest) for x in "yz" for trip, *rest in rows]
+    once, often = (planner(spark, r, PATHS) for r in (rows, rows + copies))
+    assert often.network.trip_times.count() == 3 * len(rows)
+    tables = [p.timetable(backward) for p in (once, often)]
+    for name in ("times", "places", "departures"):
+        assert len({getattr(t, name).count() for t in tables}) == 1
+    asked, end = moments(spark, {"q": 7 * HOUR}), ends(spark, [("q", "gate")])
+    found = [
+        sorted((r["stop_id"], r["round"], r["departure"], r["arrival"]) for r in reachable(p, asked, end, RouteConfig(max_transfers=2), backward).collect())
+        for p in (once, often)
+    ]
+    assert found[0] == found[1] and len(found[0]) > 5

@@ -121,7 +121,7 @@ def build_plain(tables: PlainTables, same_stop: int = SAME_STOP_SECONDS) -> Netw
     trips = first.select("route_id", "trip_id", (F.row_number().over(order) - 1).alias("trip_ord"))
     placed = times.join(trips, ["route_id", "trip_id"]).join(n_stops, "route_id")
     trip_times = materialize(
-        placed.select("trip_id", name, "trip_ord", "pos", "n_stops", "stop_id", "arr", "dep"), "plain-times"
+        placed.select("trip_id", name, "trip_ord", F.lit(EVERY_DAY).alias("service_id"), "pos", "n_stops", "stop_id", "arr", "dep"), "plain-times"
     )
     paths = tables.transfers.groupBy("from_stop", "to_stop").agg(F.min("duration").cast("long").alias("duration"))
     own = paths.where("from_stop = to_stop").select(F.col("from_stop").alias("stop_id"), F.col("duration").alias("own"))
